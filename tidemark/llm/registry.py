@@ -7,6 +7,8 @@ from importlib import import_module
 MODULES = {
     "op1_url_filters": "url_filter",
     "op2_line_dedup": "line_dedup",
+    "op6_mixing": "mixing",
+    "op7_token_files": "token_files",
     "op8_license_scan": "license_scan",
 }
 
