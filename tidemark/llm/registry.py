@@ -10,6 +10,7 @@ MODULES = {
     "op6_mixing": "mixing",
     "op7_token_files": "token_files",
     "op8_license_scan": "license_scan",
+    "op9_jaccard_join": "jaccard_join",
 }
 
 
