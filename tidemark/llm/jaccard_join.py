@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.shingles import SHINGLE, mix, shingle_set
-from tidemark.tables import cut, discard, table
+from tidemark.tables import cut, discard, small, table
 
 #: Similarity as a fraction: documents link when DEN * intersection >= NUM * union.
 NUM, DEN = 4, 5
@@ -18,8 +18,8 @@ NUM, DEN = 4, 5
 TINY, BAND = 32, (DEN / NUM) ** 5
 #: Shingles in a sketch block of the largest set of a band, on average.
 LOAD = 2.9
-#: Rows of keys that a task groups at once, and rows of ids that are broadcast at most.
-CHUNK, MAX_BROADCAST = 1_500_000, 1_000_000
+#: Rows of keys that a task groups at once.
+CHUNK = 1_500_000
 #: Leader rounds go on while more pairs than this many times the keys are left.
 PAIRS_PER_KEY = 4
 U = np.uint64
@@ -184,11 +184,6 @@ def verified(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["x", "y"])
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    """``ids`` (a written table) to be broadcast if they are few, else to be shuffled."""
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-
-
 class _Join:
     """State of one run: texts of the representatives in question, their buckets, the links found."""
 
@@ -250,7 +245,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     pairs = cut(first, "pairs")
     discard(chained)
     asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "asked")
-    texts = cut(usable.join(_bounded(asked), "doc_id", "left_semi"), "texts")
+    texts = cut(usable.join(small(asked), "doc_id", "left_semi"), "texts")
     run = _Join(texts, k)
     run.add(run.verify(pairs))
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
@@ -293,7 +288,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """``docs`` with the smallest doc_id of each component only; ids that link with nothing stay."""
     found = cut(link_components(docs, k).where("doc_id <> component_id").select(F.col("doc_id")).distinct(), "copies")
-    return docs.join(_bounded(found), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(small(found), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

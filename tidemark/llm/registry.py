@@ -7,10 +7,12 @@ from importlib import import_module
 MODULES = {
     "op1_url_filters": "url_filter",
     "op2_line_dedup": "line_dedup",
+    "op5_quality_rules": "quality_rules",
     "op6_mixing": "mixing",
     "op7_token_files": "token_files",
     "op8_license_scan": "license_scan",
     "op9_jaccard_join": "jaccard_join",
+    "op10_decontaminate": "decontaminate",
 }
 
 
