@@ -7,6 +7,8 @@ from importlib import import_module
 MODULES = {
     "op1_url_filters": "url_filter",
     "op2_line_dedup": "line_dedup",
+    "op3_lm_score": "lm_score",
+    "op4_chat_format": "chat_format",
     "op5_quality_rules": "quality_rules",
     "op6_mixing": "mixing",
     "op7_token_files": "token_files",
