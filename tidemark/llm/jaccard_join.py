@@ -18,8 +18,11 @@ NUM, DEN = 4, 5
 TINY, BAND = 32, (DEN / NUM) ** 5
 #: Shingles in a sketch block of the largest set of a band, on average.
 LOAD = 2.9
-#: Rows of keys that a task groups at once.
+#: Rows of keys or shingles that a task groups at once.
 CHUNK = 1_500_000
+#: Shingles seen so often in a chunk, and in all such chunks, are common; at most COMMON of them,
+#: the most frequent, are told apart. This orders shingles and bounds a broadcast; it drops none.
+OFTEN_HERE, OFTEN, COMMON = 2, 8, 200_000
 #: Leader rounds go on while more pairs than this many times the keys are left.
 PAIRS_PER_KEY = 4
 U = np.uint64
@@ -54,39 +57,59 @@ def sketch(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.
     return block[first], parity, check, np.diff(np.append(first, len(hashes)))
 
 
-def prefix(hashes: np.ndarray) -> np.ndarray:
-    """Shingles of which a linked set holds at least one: the least by hash."""
+class Rarity:
+    """A global order of shingles: the common ones after all others, by frequency; ties by hash."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+
+    def counted(self, hashes: np.ndarray) -> np.ndarray:
+        """The counts of common shingles, 0 for others."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.counts[at], 0)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that a linked set holds at least one of them."""
     need = -(-NUM * len(hashes) // DEN)
-    return hashes[: len(hashes) - need + 1]
+    return hashes[np.argsort(counts, kind="stable")[: len(hashes) - need + 1]]
 
 
-def bucket_keys(hashes: np.ndarray) -> np.ndarray:
+def bucket_keys(hashes: np.ndarray, rarity: Rarity) -> np.ndarray:
     """The buckets of a set: any two linked sets share at least one.
 
     A lane takes the sets of one size band, and those of the band below that could link
-    upwards. With a, b <= 1.25 a shingles a linked pair differs in d <= (a + b) / 9 of them,
-    so at most d blocks of the sketch differ. Only blocks of two or more shingles are used
-    (an empty or single one says little and would be a hot key): if either set has more than
-    d of them, one is untouched, hence equal in both. A set that may lack so many gives the
-    prefix of its shingles too, so that a pair where both may lack them meets there.
+    upwards. With a <= b <= 1.25 a shingles a linked pair differs in d <= (a + b) / 9 of them,
+    so at most d blocks of the sketch differ. Common shingles are left out of the sketches,
+    which cannot raise d, so that a passage many documents share is no bucket. Only blocks of
+    two or more shingles are used (an empty or single one says little and would be a hot key):
+    if either set has more than d of them, one is untouched, hence equal in both. A set that
+    may lack so many gives its prefix too, so that a pair where both may lack them meets there.
     """
     size = len(hashes)
     if not size:
         return np.empty(0, U)
+    counts = rarity.counted(hashes)
+    rare = hashes[counts == 0]
     own, out = lane_of(size), []
     lanes = [own, own + 1] if DEN * size >= NUM * lower_edge(own + 1) else [own]
     if own == 1 and NUM * size <= DEN * TINY:
         lanes.append(0)
     for lane in lanes:
         if lane == 0:
-            out.append(mix(prefix(hashes) + U(1)))
+            out.append(mix(prefix(hashes, counts) + U(1)))
             continue
-        block, parity, check, count = sketch(hashes, lane_blocks(lane))
-        full = count >= 2
         tag = mix(np.full(1, lane * 2 + 2, U))
-        out.append(mix(mix(mix(block[full] + tag) + parity[full]) ^ (check[full] + count[full].astype(U))))
+        full = np.zeros(0, bool)
+        if len(rare):
+            block, parity, check, count = sketch(rare, lane_blocks(lane))
+            full = count >= 2
+            out.append(mix(mix(mix(block[full] + tag) + parity[full]) ^ (check[full] + count[full].astype(U))))
         if np.count_nonzero(full) <= size // 4:
-            out.append(mix(prefix(hashes) + mix(tag + U(1))))
+            out.append(mix(prefix(hashes, counts) + mix(tag + U(1))))
     return np.concatenate(out)
 
 
@@ -102,38 +125,55 @@ def _some(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[list, list]]
 
 
 def describe_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size and a 128-bit name of the set, equal for equal sets."""
+    """doc_id, set size and a 128-bit name of the set, equal for equal sets; then, with often
+    set, shingles found OFTEN_HERE times in a chunk (f1) and their counts (n_shingles)."""
+    names = ["often", "doc_id", "n_shingles", "f1", "f2"]
+
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        found, n = found[n >= OFTEN_HERE], n[n >= OFTEN_HERE]
+        nothing = pa.nulls(len(found), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), bool)), nothing, pa.array(n), _signed(found), nothing], names=names)
+
+    held: list[np.ndarray] = []
     for batch in batches:
         for ids, texts in _some(batch):
             sets = [shingle_set(t, k) for t in texts]
             one = np.array([np.bitwise_xor.reduce(mix(s + U(11))) if len(s) else 0 for s in sets], U)
             two = np.array([np.add.reduce(mix(s ^ U(0xA5A5A5A5A5A5A5A5))) if len(s) else 0 for s in sets], U)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _signed(one), _signed(two)], names=["doc_id", "n_shingles", "f1", "f2"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), bool)), pa.array(ids, pa.int64()), pa.array(sizes), _signed(one), _signed(two)], names=names)
+            held += sets
+            if sum(map(len, held)) >= 3 * CHUNK:
+                yield often(held)
+                held = []
+    if held:
+        yield often(held)
 
 
-def chained_keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id): of each bucket one document for a chunk of rows, its other documents chained.
+def chained_keys(batches: Iterator[pa.RecordBatch], k: int, rarity) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id): of each bucket the smallest id in a chunk of rows, its others hung on that one.
 
-    Documents that share a bucket within a chunk are strung in order of id; every neighbouring
-    pair gets a bucket of its own. So a bucket has at most one row for each chunk, however
-    many documents it holds.
+    Documents that share a bucket within a chunk are paired with the smallest of them; every
+    such pair gets a bucket of its own. So a bucket has at most one row for each chunk,
+    however many documents it holds.
     """
     def grouped(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
         key, doc = np.concatenate(keys), np.concatenate(docs)
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         same = key[1:] == key[:-1]
-        link = np.flatnonzero(same & (doc[1:] != doc[:-1]))
-        pairs = np.unique(np.stack([doc[link], doc[link + 1]]), axis=1) if len(link) else np.empty((2, 0), np.int64)
-        own = mix(mix(pairs[0].view(U) + U(77)) ^ pairs[1].view(U))
         first = np.concatenate([[True], ~same])
+        least = doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        pairs = np.unique(np.stack([least, doc])[:, least != doc], axis=1)
+        own = mix(mix(pairs[0].view(U) + U(77)) ^ pairs[1].view(U))
         return pa.RecordBatch.from_arrays([_signed(np.concatenate([key[first], own, own])), pa.array(np.concatenate([doc[first], pairs[0], pairs[1]]))], names=["key", "doc_id"])
 
     keys, docs, held = [], [], 0
     for batch in batches:
         for ids, texts in _some(batch):
             for i, t in zip(ids, texts, strict=True):
-                found = bucket_keys(shingle_set(t, k))
+                found = bucket_keys(shingle_set(t, k), rarity.value)
                 if len(found):
                     keys.append(found)
                     docs.append(np.full(len(found), i, np.int64))
@@ -145,13 +185,16 @@ def chained_keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
         yield grouped(keys, docs)
 
 
-def plain_keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id) of every bucket of every document."""
+def rare_prefixes(batches: Iterator[pa.RecordBatch], k: int, rarity) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, n): each document's rarest shingles, of which a linked document shares one, and its set's size."""
     for batch in batches:
         for ids, texts in _some(batch):
-            found = [np.unique(bucket_keys(shingle_set(t, k))) for t in texts]
-            if sum(map(len, found)):
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found]))], names=["key", "doc_id"])
+            sets = [shingle_set(t, k) for t in texts]
+            found = [prefix(s, rarity.value.counted(s)) for s in sets]
+            each = [len(f) for f in found]
+            if sum(each):
+                sizes = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array(np.repeat(sizes, each))], names=["key", "doc_id", "n"])
 
 
 def verified(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -212,12 +255,15 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     link; component_id is the smallest doc_id reachable by links.
 
     1. Equal sets are one class; only its smallest id goes on.
-    2. Sets meet in the buckets of ``bucket_keys``. Within a chunk, then across chunks, a
-       bucket's documents are chained, which tells which documents meet any other at all
-       and gives a first, linear number of pairs.
-    3. Pairs are verified on whole sets. Buckets whose documents are then in one component
-       are done. In the others pairs of different components are left: while these are many,
-       each document is first tried against its bucket's leader (the document that meets
+    2. Shingles that many documents hold are told apart. Sets meet in the buckets of
+       ``bucket_keys``. A bucket's documents are paired with the first in their chunk of rows,
+       and those of its chunks chained, which tells what documents meet any other at all.
+       Each is first tried with the smallest and the largest id it was paired with.
+    3. Pairs are verified on whole sets, after a comparison of sketches.
+    4. The documents that met any other, a small part, may still have links between the
+       components so far. They meet again by their rarest shingles; where all that share one
+       are in one component, nothing is left. Else pairs of different components are: while
+       these are many, each document is first tried against a leader (the one that meets
        most others); what still is apart is verified pair by pair, so no link is lost.
 
     Texts are shuffled for documents in question only. Null or empty text has an empty set
@@ -226,41 +272,49 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    described = cut(docs.mapInArrow(lambda it: describe_sets(it, k), "doc_id long, n_shingles long, f1 long, f2 long"), "sets")
+    spark = docs.sparkSession
+    everything = cut(docs.mapInArrow(lambda it: describe_sets(it, k), "often boolean, doc_id long, n_shingles long, f1 long, f2 long"), "sets")
+    often = everything.where("often").groupBy("f1").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= OFTEN)
+    often = often.orderBy(F.desc("n"), "f1").limit(COMMON).collect()
+    rarity = spark.sparkContext.broadcast(Rarity(np.array([r.f1 for r in often], np.int64).view(U), np.array([r.n for r in often], np.int64)))
+    described = everything.where("not often").drop("often")
     full = described.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = cut(
-        full.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep").distinct(), "members"
+        full.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep", "n_shingles").distinct(), "members"
     )
     usable = docs.where("doc_id is not null and text is not null")
-    keyed = usable.mapInArrow(lambda it: chained_keys(it, k), "key long, doc_id long")
+    keyed = usable.mapInArrow(lambda it: chained_keys(it, k, rarity), "key long, doc_id long")
     met = keyed.select("doc_id", F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id")).alias("before")).where("before <> doc_id")
     chained = cut(met.distinct(), "chained")
-    rep = members.select(F.col("doc_id").alias("m"), "rep")
-    first = (
-        chained.join(rep, chained["doc_id"] == rep["m"]).select("before", F.col("rep").alias("r1"))
-        .join(rep, F.col("before") == rep["m"]).select(F.least("r1", "rep").alias("x"), F.greatest("r1", "rep").alias("y"))
-        .where("x <> y").distinct()
+    rep = members.select(F.col("doc_id").alias("m"), "rep", "n_shingles")
+    mapped = (
+        chained.join(rep, chained["doc_id"] == rep["m"]).select("before", F.col("rep").alias("x"), F.col("n_shingles").alias("n1"))
+        .join(rep, F.col("before") == rep["m"]).select("x", F.col("rep").alias("y"), "n1", F.col("n_shingles").alias("n2"))
+        .where(f"x <> y and {DEN} * n1 >= {NUM} * n2 and {DEN} * n2 >= {NUM} * n1").distinct()
     )
-    pairs = cut(first, "pairs")
+    met = cut(mapped.select("x", "y"), "met")
+    asked = cut(met.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "asked")
+    ends = met.groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    tried = ends.select("x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
+    pairs = cut(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     discard(chained)
-    asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "asked")
     texts = cut(usable.join(small(asked), "doc_id", "left_semi"), "texts")
     run = _Join(texts, k)
     run.add(run.verify(pairs))
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
     same_id = members.join(twice.select("doc_id", "x"), "doc_id").select("x", F.col("rep").alias("y")).where("x <> y")
     run.links = run.links.union(same_id)
-    keys = texts.mapInArrow(lambda it: plain_keys(it, k), "key long, doc_id long")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
-    keys = cut(keys.join(shared, "key", "left_semi"), "keys")
+    each = texts.mapInArrow(lambda it: rare_prefixes(it, k, rarity), "key long, doc_id long, n long")
+    shared = each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+    keys = cut(each.join(shared, "key", "left_semi"), "prefixes")
     n_keys = keys.count()
     while True:
         groups = cut(run.components(), "groups")
-        placed = keys.join(groups, keys["doc_id"] == groups["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        counts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-        open_keys = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.count("*").alias("cs")).where("cs > 1")
-        left = cut(placed.join(open_keys.select("key", (F.col("n") * F.col("n") - F.col("inner")).alias("apart"), F.col("n").alias("weight")), "key"), "open")
+        placed = keys.join(groups, keys["doc_id"] == groups["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        counts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+        open_keys = counts.groupBy("key").agg(F.sum("m").alias("weight"), F.sum(F.col("m") * F.col("m")).alias("inner"), F.count("*").alias("cs")).where("cs > 1")
+        left = cut(placed.join(open_keys.select("key", "weight", (F.col("weight") * F.col("weight") - F.col("inner")).alias("apart")), "key"), "open")
         apart = left.groupBy("key").agg(F.first("apart").alias("apart")).agg(F.sum(F.col("apart").cast("decimal(38,0)"))).first()[0] or 0
         if apart <= 2 * PAIRS_PER_KEY * max(n_keys, 1):
             break
@@ -273,8 +327,9 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         discard(groups)
         if not run.add(run.verify(tries)):
             break
-    other = left.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"))
-    rest = left.select("key", F.col("doc_id").alias("x"), "c").join(other, "key").where("x < y and c <> cy").select("x", "y").distinct()
+    other = left.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    near = f"{DEN} * n >= {NUM} * ny and {DEN} * ny >= {NUM} * n"
+    rest = left.select("key", F.col("doc_id").alias("x"), "c", "n").join(other, "key").where(f"x < y and c <> cy and {near}").select("x", "y").distinct()
     last = run.verify(rest)
     if run.add(last):
         groups = run.components()
