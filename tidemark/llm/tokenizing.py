@@ -34,7 +34,8 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.memory: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str, dtype: str) -> "Encoder":
@@ -44,7 +45,7 @@ class Encoder:
         return cls._shared[path, dtype]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -57,17 +58,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return [np.frombuffer(b, self.dtype) for b in self._ids(texts)]
-        # the first piece stands without its blank, the others with it: told apart by the key
+        # a text's first piece stands without its blank, the others are remembered without but encoded with it
         split = [self._pieces(t) for t in texts]
-        heads = [p[0] for p in split]
-        tails = [p[1:] for p in split]
-        memory = self.memory
-        new = [" " + x for x in set().union(*tails) if " " + x not in memory]
-        new += [x for x in set(heads) if x not in memory]
-        if new:
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
-                new = list({" " + x for x in set().union(*tails)} | set(heads))
-            memory.update(zip(new, self._ids(new), strict=True))
-        look = memory.__getitem__
-        return [np.frombuffer(look(h) + b"".join([look(" " + x) for x in t]), self.dtype) for h, t in zip(heads, tails, strict=True)]
+        heads, tails = [p[0] for p in split], [p[1:] for p in split]
+        new_heads = list(set(heads).difference(self.heads))
+        new = list(set().union(*tails).difference(self.tails))
+        if len(self.heads) + len(self.tails) + len(new_heads) + len(new) > MEMORY:
+            self.heads.clear()
+            self.tails.clear()
+            new_heads, new = list(set(heads)), list(set().union(*tails))
+        self.heads.update(zip(new_heads, self._ids(new_heads), strict=True))
+        self.tails.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+        look = self.tails.__getitem__
+        return [np.frombuffer(self.heads[h] + b"".join(map(look, t)), self.dtype) for h, t in zip(heads, tails, strict=True)]
