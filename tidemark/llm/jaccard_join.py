@@ -23,8 +23,10 @@ CHUNK = 1_500_000
 #: Shingles seen so often in a chunk, and in all such chunks, are common; at most COMMON of them,
 #: the most frequent, are told apart. This orders shingles and bounds a broadcast; it drops none.
 OFTEN_HERE, OFTEN, COMMON = 2, 8, 200_000
-#: Leader rounds go on while more pairs than this many times the keys are left.
-PAIRS_PER_KEY = 4
+#: Leader rounds go on while more pairs than this many times the keys are left and enough of those tried link.
+PAIRS_PER_KEY, WORTH = 4, 0.05
+#: Words of the sketches that are compared within the last join, and rows of them that may be broadcast.
+MOST_WORDS, SKETCH_ROWS = 32, 50_000
 U = np.uint64
 
 
@@ -197,6 +199,35 @@ def rare_prefixes(batches: Iterator[pa.RecordBatch], k: int, rarity) -> Iterator
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array(np.repeat(sizes, each))], names=["key", "doc_id", "n"])
 
 
+def parity_bits(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, bits): a set's size and its parity sketch of a power of two of words, up to MOST_WORDS.
+
+    The bit is the hash modulo the sketch's bits, so a sketch folds into one of half the words by XOR.
+    """
+    for batch in batches:
+        for ids, texts in _some(batch):
+            sets = [shingle_set(t, k) for t in texts]
+            bits = []
+            for h in sets:
+                words = min(MOST_WORDS, max(2, 1 << max(0, len(h) - 1).bit_length() >> 5))
+                own = np.zeros(words, U)
+                np.bitwise_xor.at(own, (h >> U(6)) & U(words - 1), U(1) << (h & U(63)))
+                bits.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "bits"])
+
+
+def _folded(bits: str, other: str) -> str:
+    half = f"cast(size({bits}) / 2 as int)"
+    return f"if(size({bits}) > size({other}), zip_with(slice({bits}, 1, {half}), slice({bits}, {half} + 1, {half}), (p, q) -> p ^ q), {bits})"
+
+
+#: A linked pair's sketches (bits, n; obits, ny) differ in no more bits than its sets may differ in shingles.
+ALIKE = (
+    f"aggregate(zip_with({_folded('bits', 'obits')}, {_folded('obits', 'bits')}, (p, q) -> bit_count(p ^ q)), 0, (a, b) -> a + b)"
+    f" * {DEN + NUM} <= (n + ny) * {DEN - NUM}"
+)
+
+
 def verified(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The pairs (x, y) of rows (x, y, text_x, text_y) that link; sketches are compared before sets."""
     for batch in batches:
@@ -264,7 +295,8 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
        components so far. They meet again by their rarest shingles; where all that share one
        are in one component, nothing is left. Else pairs of different components are: while
        these are many, each document is first tried against a leader (the one that meets
-       most others); what still is apart is verified pair by pair, so no link is lost.
+       most others); of what still is apart, the pairs whose sketches are near enough are
+       verified, so no link is lost.
 
     Texts are shuffled for documents in question only. Null or empty text has an empty set
     and links with nothing; a null doc_id has a null component. Rows that repeat an id are
@@ -324,12 +356,17 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             .select("key", (-F.col("best.i")).alias("leader"), F.col("best.c").alias("lc"))
         )
         tries = left.join(lead, "key").where("c <> lc").select(F.least("doc_id", "leader").alias("x"), F.greatest("doc_id", "leader").alias("y")).distinct()
+        tries = cut(tries, "tries")
         discard(groups)
-        if not run.add(run.verify(tries)):
+        if run.add(run.verify(tries)) < WORTH * tries.count():
+            groups = cut(run.components(), "groups")
             break
-    other = left.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    sketches = cut(texts.mapInArrow(lambda it: parity_bits(it, k), "doc_id long, n long, bits array<long>"), "sketches")
+    now = left.drop("c").join(groups, left["doc_id"] == groups["node"], "left").withColumn("c", F.coalesce("component", "doc_id"))
+    sketched = now.join(small(sketches, SKETCH_ROWS), ["doc_id", "n"]).select("key", "doc_id", "c", "n", "bits")
+    other = sketched.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("obits"))
     near = f"{DEN} * n >= {NUM} * ny and {DEN} * ny >= {NUM} * n"
-    rest = left.select("key", F.col("doc_id").alias("x"), "c", "n").join(other, "key").where(f"x < y and c <> cy and {near}").select("x", "y").distinct()
+    rest = sketched.withColumnRenamed("doc_id", "x").join(other, "key").where(f"x < y and c <> cy and {near} and {ALIKE}").select("x", "y").distinct()
     last = run.verify(rest)
     if run.add(last):
         groups = run.components()
