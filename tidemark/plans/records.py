@@ -275,7 +275,7 @@ def canonical_rollup(spark: SparkSession, sf: str) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     leaves = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return leaves.select("n_name", "r_name", "n").select(F.explode(F.array(F.struct(F.lit("nation").alias("level"), F.col("n_name").alias("label")), F.struct(F.lit("region"), F.col("r_name")))).alias("x"), "n").groupBy("x.level", "x.label").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("customers"))
+    return leaves.select("n_name", "r_name", "n").select(F.explode(F.array(F.struct(F.lit("nation").alias("level"), F.col("n_name").alias("label")), F.struct(F.lit("region").alias("level"), F.col("r_name").alias("label")))).alias("x"), "n").groupBy("x.level", "x.label").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("customers"))
 
 
 CANONICAL = """WITH c AS (SELECT n_name, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -286,7 +286,8 @@ def rotation_plan(spark: SparkSession, sf: str) -> DataFrame:
     last = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
     x = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
     n = F.count("*").over(Window.partitionBy("c_mktsegment"))
-    placed = ranking.top_per_key(x.withColumn("quota", F.ceil(n / 28.0)), "c_mktsegment", [F.col("last").asc_nulls_first(), F.col("c_custkey")], 1_000_000)
+    order = Window.partitionBy("c_mktsegment").orderBy(F.col("last").asc_nulls_first(), "c_custkey")
+    placed = x.select("c_mktsegment", "c_custkey", F.row_number().over(order).alias("place"), F.ceil(n / 28.0).alias("quota"))
     return placed.where("place <= quota").select("c_mktsegment", "c_custkey", "place", "quota")
 
 
