@@ -46,13 +46,19 @@ KNOWN = [
 ]
 
 
+def _spelled(plain: Column) -> Column:
+    """``plain`` in one spelling: the replacements run only where one of the old spellings stands."""
+    replaced = plain
+    for old, new in SPELLINGS:
+        replaced = F.regexp_replace(replaced, rf"\b{old}\b", new)
+    return F.when(plain.rlike(rf"\b({'|'.join(old for old, _ in SPELLINGS)})\b"), replaced).otherwise(plain)
+
+
 def canonical(text: Column) -> Column:
     """Lower-cased text without owner lines and punctuation, in one spelling, single-spaced."""
     plain = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), OWNER_LINE, "$1")
     plain = F.regexp_replace(plain, PUNCTUATION, " ")
-    for old, new in SPELLINGS:
-        plain = F.regexp_replace(plain, rf"\b{old}\b", new)
-    return F.trim(plain)
+    return F.trim(F.get(F.transform(F.array(plain), _spelled), F.lit(0)))
 
 
 def digest(text: Column) -> Column:
