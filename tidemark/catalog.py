@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import names, records
+from tidemark.plans import evidence, names, records
+from tidemark.streaming import first_seen
 
 FLAGSHIP = "q_pricing_summary"
-ALL = names.QUERIES | records.QUERIES
+ALL = names.QUERIES | records.QUERIES | evidence.QUERIES | first_seen.QUERIES
 
 
 def queries() -> dict:

@@ -62,3 +62,8 @@ def strip_blocks(html: Column, tags: tuple[str, ...] = ("script", "style", "nav"
 
 def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(strip_blocks(html), r"(?s)<!--.*?-->|<[^>]*>", " "), r"\s+", " "))
+
+
+def label_before_digit(x: Column, trim: str = " #-") -> Column:
+    """The text before its first digit without separators at its end; the whole text where nothing is left."""
+    return F.coalesce(F.nullif(F.rtrim(F.regexp_extract(x, "^[^0-9]*", 0), F.lit(trim)), F.lit("")), x)
