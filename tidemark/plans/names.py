@@ -32,12 +32,12 @@ def _aliases(spark: SparkSession, sf: str) -> DataFrame:
 def entity_resolve_state(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     probes = part.select("p_partkey", T.strict_key(F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" Limited"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" unknown"))).otherwise(F.col("p_name"))).alias("key"))
-    found = resolve.resolve(probes, _aliases(spark, sf).where("p_partkey % 10 < 4").select("key", "name"))
+    found = resolve.resolve(probes, _aliases(spark, sf).where("p_size < 20").select("key", "name"))
     return found.select("p_partkey", "state", "name", "candidates", "reason")
 
 
 ENTITY_RESOLVE = f"""
-WITH a AS (SELECT regexp_replace({NORM.format(x="replace(p_name, '&', ' and ')")}, '(\\s+({LEGAL}))+$', '') AS key, p_name || '/' || p_brand AS name FROM part WHERE p_partkey % 10 < 4),
+WITH a AS (SELECT regexp_replace({NORM.format(x="replace(p_name, '&', ' and ')")}, '(\\s+({LEGAL}))+$', '') AS key, p_name || '/' || p_brand AS name FROM part WHERE p_size < 20),
 i AS (SELECT key, min(name) AS name, count(DISTINCT name) AS n FROM a WHERE key <> '' GROUP BY key),
 p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' Limited' WHEN 1 THEN p_name || ' unknown' ELSE p_name END AS x FROM part),
 k AS (SELECT p_partkey, regexp_replace({NORM.format(x="replace(x, '&', ' and ')")}, '(\\s+({LEGAL}))+$', '') AS key FROM p)
@@ -58,14 +58,14 @@ SELECT key, min(p_partkey) AS p_partkey, min_by(name, p_partkey) AS name FROM
 
 def ambiguous_guard(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", F.lower("p_brand").alias("key"), F.col("p_type").alias("record"))
-    probes = p.select(F.col("p_partkey").alias("probe"), "key", F.col("record").alias("wanted")).where("probe % 7 = 0")
+    probes = p.select(F.col("p_partkey").alias("probe"), "key", F.col("record").alias("wanted"))
     records = ranking.latest_wins(p, ["key", "record"], [F.col("p_partkey")])
     return resolve.guarded_join(probes, records, "key", "wanted", "record").select("probe", "key", "p_partkey", "record")
 
 
 AMBIGUOUS = """
 WITH r AS (SELECT lower(p_brand) AS key, p_type AS record, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2), s AS (SELECT key FROM r GROUP BY key HAVING count(DISTINCT record) > 1)
-SELECT p.p_partkey AS probe, r.key, r.p_partkey, r.record FROM part p JOIN r ON lower(p.p_brand) = r.key WHERE p.p_partkey % 7 = 0 AND (r.key NOT IN (SELECT key FROM s) OR p.p_type = r.record)
+SELECT p.p_partkey AS probe, r.key, r.p_partkey, r.record FROM part p JOIN r ON lower(p.p_brand) = r.key WHERE r.key NOT IN (SELECT key FROM s) OR p.p_type = r.record
 """
 
 TAGS = [("energy", "the", 1), ("energy", "and", 1), ("health", "of", 2), ("trade", "que", 3), ("trade", "les", 3), ("trade", "der", 3)]
@@ -116,7 +116,7 @@ def cascade_phrase_join(spark: SparkSession, sf: str) -> DataFrame:
     """Part names against other parts' names: equal first, else the longest whole-phrase containment by shared first word."""
     p = table(spark, sf, "part").select("p_partkey", T.norm(F.col("p_name")).alias("name"), F.lower("p_brand").alias("brand"))
     names = p.groupBy("name").agg(F.min("p_partkey").alias("hit"))
-    probes = p.where("p_partkey % 5 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("name")).otherwise(F.concat_ws(" ", F.lit("old"), "name", F.lit("set"))).alias("probe"))
+    probes = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("name")).otherwise(F.concat_ws(" ", F.lit("old"), "name", F.lit("set"))).alias("probe"))
     exact = probes.join(names, F.col("probe") == F.col("name"), "left").select("p_partkey", "probe", F.col("hit").alias("exact"))
     words = exact.where("exact is null").select("p_partkey", "probe", F.explode(F.array_distinct(F.split("probe", " "))).alias("w"))
     keyed = names.select("name", "hit", F.get(F.split("name", " "), F.lit(0)).alias("w")).where(F.length("name") >= 4)
@@ -126,7 +126,7 @@ def cascade_phrase_join(spark: SparkSession, sf: str) -> DataFrame:
 
 CASCADE = f"""
 WITH p AS (SELECT p_partkey, {NORM.format(x='p_name')} AS name FROM part), names AS (SELECT name, min(p_partkey) AS hit FROM p GROUP BY name),
-q AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN name ELSE 'old ' || name || ' set' END AS probe FROM p WHERE p_partkey % 5 = 0),
+q AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN name ELSE 'old ' || name || ' set' END AS probe FROM p),
 e AS (SELECT q.*, n.hit AS exact FROM q LEFT JOIN names n ON q.probe = n.name),
 t AS (SELECT p_partkey, hit, row_number() OVER (PARTITION BY p_partkey ORDER BY length(name) DESC, hit) AS r FROM e JOIN names n ON e.exact IS NULL AND length(name) >= 4 AND contains(' ' || probe || ' ', ' ' || name || ' '))
 SELECT e.p_partkey, coalesce(exact, t.hit) AS matched, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN t.hit IS NOT NULL THEN 'phrase' ELSE 'none' END AS how FROM e LEFT JOIN t ON e.p_partkey = t.p_partkey AND t.r = 1

@@ -122,12 +122,12 @@ FIRST_SEEN = "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last
 
 
 def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "events").where("user_id % 4 = 0").groupBy("user_id", "event_type").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    s = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     a, b = s.select("user_id", F.col("event_type").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), s.select("user_id", F.col("event_type").alias("b"), "lo", "hi")
     return a.join(b, "user_id").where("a < b and ahi >= lo and hi >= alo").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-OVERLAP = "WITH s AS (SELECT user_id, event_type AS t, min(ts) AS lo, max(ts) AS hi FROM events WHERE user_id % 4 = 0 GROUP BY 1, 2) SELECT x.t AS a, y.t AS b, count(*) AS n FROM s x JOIN s y ON x.user_id = y.user_id AND x.t < y.t AND x.hi >= y.lo AND y.hi >= x.lo GROUP BY 1, 2"
+OVERLAP = "WITH s AS (SELECT user_id, event_type AS t, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1, 2) SELECT x.t AS a, y.t AS b, count(*) AS n FROM s x JOIN s y ON x.user_id = y.user_id AND x.t < y.t AND x.hi >= y.lo AND y.hi >= x.lo GROUP BY 1, 2"
 
 
 def latest_wins_dedupe(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,17 +145,17 @@ CAPPED = "SELECT o_orderpriority, o_orderkey, place, least(total, 5) AS shown, t
 
 
 def _customers(spark: SparkSession, sf: str, side: int) -> DataFrame:
-    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    c, fields = table(spark, sf, "customer"), ("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     if side == 0:
-        return c.where("c_custkey % 5 <> 0")
-    moved = F.when(F.col("c_custkey") % (3 + side) == 0, F.concat(F.lit(f"SEG{side} "), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
-    return c.where(f"c_custkey % {6 + side} <> 0").withColumn("c_mktsegment", moved).withColumn("c_name", F.when(F.col("c_custkey") % 11 == 0, F.lit("")).otherwise(F.col("c_name")))
+        return c.where("c_acctbal > -500").select(*fields)
+    moved = F.when(F.col("c_nationkey").between(4 * side, 4 * side + 5), F.concat(F.lit(f"SEG{side} "), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    return c.where(f"c_acctbal < {9500 - 500 * side}").withColumn("c_mktsegment", moved).withColumn("c_name", F.when(F.col("c_acctbal").between(0, 800), F.lit("")).otherwise(F.col("c_name"))).select(*fields)
 
 
 def _customers_sql(side: int) -> str:
     if side == 0:
-        return "SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 5 <> 0"
-    return f"SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS c_name, CASE WHEN c_custkey % {3 + side} = 0 THEN 'SEG{side} ' || c_mktsegment ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_custkey % {6 + side} <> 0"
+        return "SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_acctbal > -500"
+    return f"SELECT c_custkey, CASE WHEN c_acctbal BETWEEN 0 AND 800 THEN '' ELSE c_name END AS c_name, CASE WHEN c_nationkey BETWEEN {4 * side} AND {4 * side + 5} THEN 'SEG{side} ' || c_mktsegment ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_acctbal < {9500 - 500 * side}"
 
 
 _SIDES = f"o AS ({_customers_sql(0)}), a AS ({_customers_sql(1)}), b AS ({_customers_sql(2)})"
@@ -188,10 +188,10 @@ SELECT c_custkey, CASE status WHEN 'theirs' THEN vb WHEN 'conflict' THEN NULL EL
 
 def no_loss(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("form"))
-    return merge.no_loss(p, p.where("p_partkey % 3 <> 0"), "p_partkey", "form")
+    return merge.no_loss(p, p.where("p_type <> 'ECONOMY'"), "p_partkey", "form")
 
 
-NO_LOSS = "SELECT p_partkey, lower(p_name) AS form, CASE WHEN lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_partkey % 3 <> 0) THEN 'renamed' ELSE 'lost' END AS outcome FROM part WHERE p_partkey % 3 = 0"
+NO_LOSS = "SELECT p_partkey, lower(p_name) AS form, CASE WHEN lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_type <> 'ECONOMY') THEN 'renamed' ELSE 'lost' END AS outcome FROM part WHERE p_type = 'ECONOMY'"
 
 
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,10 +204,10 @@ CARRY = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 OR o_or
 
 def provenance_replace(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    return merge.replace_by_provenance(x, x.where("l_returnflag = 'R' and l_orderkey % 2 = 0"), "l_returnflag", "R").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return merge.replace_by_provenance(x, x.where("l_returnflag = 'R' and l_quantity > 25"), "l_returnflag", "R").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-PROVENANCE = "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IS DISTINCT FROM 'R' OR l_orderkey % 2 = 0 GROUP BY 1"
+PROVENANCE = "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IS DISTINCT FROM 'R' OR l_quantity > 25 GROUP BY 1"
 
 
 def runway_buckets(spark: SparkSession, sf: str) -> DataFrame:
