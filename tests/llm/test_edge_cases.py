@@ -53,6 +53,16 @@ def test_quality(docs):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_jaccard_below_a_containing_text(spark):
+    """x and y link; z holds both, is too large to link and has the smallest id of the buckets they share."""
+    rows = []
+    for i in range(0, 120, 3):
+        words = [f"v{i}x{j}" for j in range(34)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:14])), (i + 2, " ".join(words[:13]))]
+    found = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - (i % 3 == 2) for i, _ in rows}
+
+
 def test_jaccard(docs):
     rows = jaccard_join.link_components(docs).collect()
     assert len(rows) == len(ROWS)

@@ -289,7 +289,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     2. Shingles that many documents hold are told apart. Sets meet in the buckets of
        ``bucket_keys``. A bucket's documents are paired with the first in their chunk of rows,
        and those of its chunks chained, which tells what documents meet any other at all.
-       Each is first tried with the smallest and the largest id it was paired with.
+       Each is first tried with the smallest and the largest id of near size it was paired with.
     3. Pairs are verified on whole sets, after a comparison of sketches.
     4. The documents that met any other, a small part, may still have links between the
        components so far. They meet again by their rarest shingles; where all that share one
@@ -323,11 +323,12 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     mapped = (
         chained.join(rep, chained["doc_id"] == rep["m"]).select("before", F.col("rep").alias("x"), F.col("n_shingles").alias("n1"))
         .join(rep, F.col("before") == rep["m"]).select("x", F.col("rep").alias("y"), "n1", F.col("n_shingles").alias("n2"))
-        .where(f"x <> y and {DEN} * n1 >= {NUM} * n2 and {DEN} * n2 >= {NUM} * n1").distinct()
+        .where("x <> y").select("x", "y", F.expr(f"{DEN} * n1 >= {NUM} * n2 and {DEN} * n2 >= {NUM} * n1").alias("near")).distinct()
     )
-    met = cut(mapped.select("x", "y"), "met")
+    met = cut(mapped, "met")
+    # sizes are no condition here: a document may link with another that was hung on the same, far larger or smaller, one
     asked = cut(met.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "asked")
-    ends = met.groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    ends = met.where("near").groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
     tried = ends.select("x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
     pairs = cut(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     discard(chained)
