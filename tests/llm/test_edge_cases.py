@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +45,24 @@ def test_licenses(docs, spark):
     assert {r.doc_id: (r.license_id, r.notices) for r in license_scan.scan_licenses(own, known).collect()} == {1: ("Zlib", ""), 2: (None, "MIT")}
 
 
+def _wrapped(text: str, width: int, mark: str) -> str:
+    """Paragraphs wrapped anew behind a comment mark; those that name an owner keep their lines."""
+    paragraphs = [p if re.search(r"copyright (\(c\)|©|\[|[0-9])", p, re.I) else textwrap.fill(p, width) for p in re.split(r"\n[ \t]*\n", text)]
+    return "\n".join(mark + line for p in paragraphs for line in [*p.split("\n"), ""])
+
+
+def test_wrapped_licenses(spark):
+    """Entire texts are found however they are wrapped, commented and headed by owners."""
+    known = spark.createDataFrame(license_scan.KNOWN, "license_id string, text string")
+    owners = ["", "Copyright 2020 X\n", "Copyright (c) 2019-2021, X. All rights reserved.\n(C) 2022 Y\n\n", "Copyright Jane Doe\nAll rights reserved.\n"]
+    texts = [(i, t) for i, t in license_scan.KNOWN if "\n" in t]
+    forms = [(i, _wrapped(o + "\n" + t, w, m)) for i, t in texts for w, m, o in zip([38, 50, 62, 71, 79], ["", "# ", " * ", "// ", ""], [*owners, owners[1]], strict=True)]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(forms)], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs, known).collect()}
+    assert {i for i, _ in texts} >= {"MIT", "ISC", "0BSD", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"}
+    assert [(i, found[n]) for n, (i, _) in enumerate(forms) if found[n] != i] == []
+
+
 def test_scores(docs):
     rows = lm_score.score_texts(docs, rounds=1).collect()
     assert len(rows) == len(ROWS) and all(r.score <= 0 and r.n_tokens >= 1 for r in rows)

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.text import LOWER, UPPER, ascii_lower
 from tidemark.tables import table
 
-#: Lines that name an owner, not the terms: removed before the digest.
-OWNER_LINE = r"(^|\n)[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that name an owner, not the terms, after comment marks if any: removed before the digest. A wrapped line of the
+#: terms may start with 'copyright notice', 'COPYRIGHT HOLDERS' or the list mark '(c)'; those stay.
+OWNER_LINE = (
+    r"(?i)(^|\n)[ \t#/*;%!<>|\"'.-]*("
+    r"copyright[ \t:,]*(\(c\)|©|&copy;|[0-9]|[\[<{]|by\b)"
+    r"|(?-i:Copyright[ \t:,]+(the[ \t]+)?(?!(License|Licence|Notice|Holder|Owner|Statement|Law|Act|Interest|And|Or|In)s?\b)[A-Z])"
+    r"|\(c\)[ \t]*(copyright\b|[0-9]|by\b)|©|all rights reserved[ \t.*/#-]*(?=[\r\n]|$))[^\n]*"
+)
+#: The owner lines of ORACLE: the same on the given documents, whose only owner lines are 'All rights reserved.'.
+SQL_OWNER_LINE = r"(^|\n)[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x01-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Equivalent spellings, applied in order between word boundaries.
 SPELLINGS = [
@@ -31,8 +42,8 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-#: Public licence texts and one-line notices (licence id, entire text).
-KNOWN = [
+#: Public licence texts and one-line notices that ORACLE lists too (licence id, entire text).
+NOTICED = [
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
     ("MIT", "The MIT License (MIT)\n\n" + MIT),
@@ -44,6 +55,36 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+#: Licences whose entire texts stand in the folder licenses, with the titles they may have.
+ENTIRE = {
+    "Apache-2.0": [], "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'], "CC0-1.0": [], "GPL-1.0": [],
+    "GPL-2.0": [], "GPL-3.0": [], "LGPL-2.0": [], "LGPL-2.1": [], "LGPL-3.0": [], "MPL-1.1": [], "MPL-2.0": [], "Unlicense": [],
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def _entire() -> list[tuple[str, str]]:
+    """Each entire text as it is, under its titles, without what follows TERMS_END, and with unnumbered conditions (BSD)."""
+    out = []
+    for name, titles in ENTIRE.items():
+        text = pkgutil.get_data(__package__, f"licenses/{name}.txt").decode()
+        forms = [text]
+        if TERMS_END in text:
+            before = text[: text.index(TERMS_END)]
+            forms += [before + TERMS_END, before]
+        if name.startswith("BSD"):
+            forms.append(re.sub(r"(?m)^\d\. ", "* ", text))
+        out += [(name, x) for f in forms for x in [f, *(f"{t}\n\n{f}" for t in titles)]]
+    return out
+
+
+#: All known texts (licence id, entire text).
+KNOWN = [
+    *NOTICED,
+    *((i, f"{title}\n\n{t}") for i, t in NOTICED if "\n" in t for title in {"ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "Zlib": ["zlib License"]}.get(i, [])),
+    *_entire(),
+]
 
 
 def _spelled(plain: Column) -> Column:
@@ -56,7 +97,7 @@ def _spelled(plain: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Lower-cased text without owner lines and punctuation, in one spelling, single-spaced."""
-    plain = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), OWNER_LINE, "$1")
+    plain = ascii_lower(F.regexp_replace(F.coalesce(text, F.lit("")), OWNER_LINE, "$1"))
     plain = F.regexp_replace(plain, PUNCTUATION, " ")
     return F.trim(F.get(F.transform(F.array(plain), _spelled), F.lit(0)))
 
@@ -103,14 +144,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(x: str) -> str:
-    out = f"regexp_replace(regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{OWNER_LINE}', '\\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{SQL_OWNER_LINE}', '\\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
     for old, new in SPELLINGS:
         out = f"regexp_replace({out}, '\\b{old}\\b', '{new}', 'g')"
     return f"trim({out})"
 
 
 def _values() -> str:
-    return ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    return ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in NOTICED)
 
 
 ORACLE = f"""
