@@ -68,6 +68,15 @@ def test_scores(docs):
     assert len(rows) == len(ROWS) and all(r.score <= 0 and r.n_tokens >= 1 for r in rows)
 
 
+@pytest.mark.parametrize("rows", [[(i, 120) for i in range(6)], [(1, 1)] * 20_000], ids=["books", "one id"])
+def test_scores_are_trained(spark, rows):
+    """Texts of long runs are learnt beyond their word counts, whatever the documents' lengths and ids are."""
+    text = F.expr("repeat(concat(repeat('a ', 50), repeat('b ', 50)), cast(n as int))").alias("text")
+    docs = spark.createDataFrame(rows, "doc_id long, n long").select("doc_id", text).repartition(2)
+    assert all(r.score > 0.22 * r.base_score for r in lm_score.score_texts(docs).collect())
+
+
+
 def test_quality(docs):
     rows = quality_rules.judge_quality(docs).collect()
     assert len(rows) == len(ROWS) and {r.doc_id for r in rows if not r.kept} == {1, 2, 7, 8, 9}
