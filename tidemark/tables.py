@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,42 +15,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temp folder only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); in local mode, a temp folder where it is unset."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = os.environ.get("TIDEMARK_SHARED") or f"{tempfile.gettempdir()}/tidemark-{os.getpid()}"
     os.makedirs(root, exist_ok=True)
     return f"file://{root}"
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends unless ``discard`` was earlier."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files all executors see."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(spark, label)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete the files of a ``cut`` table that nothing reads any more."""
-    path = getattr(df, "_tidemark_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of ``cut`` tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_tidemark_path", None)
+        if path is not None:
+            fs, at = _hadoop(df.sparkSession, path)
+            fs.delete(at, True)
 
 
-#: Rows of ids (or other narrow rows) that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows of ids (or other narrow rows) that may be broadcast, and bytes of rows that hold texts.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (narrow rows, cheap to count) with a broadcast hint if it has at most ``rows`` rows."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def small_texts(df: DataFrame, text: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its column ``text`` and 50 bytes a row are at most ``most`` bytes."""
+    size = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 50), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
