@@ -14,7 +14,6 @@ import pytest
 
 import corpus_pipeline
 from tidemark.llm import hidden_markov, jaccard_join, registry, token_files
-from tidemark.llm.mixing import targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,6 +84,18 @@ def test_quality_statistics_and_verdicts(spark, sf_dir, docs):
     assert kept >= 0.9 * sum(not r.base_failed for r in found.values())
 
 
+def targets(sizes, weights, total):
+    """Shares by weight, those above three times their size stopped there, one after the other."""
+    done = {}
+    while True:
+        level = (total - sum(done.values())) / sum(w for s, w in weights.items() if s not in done)
+        over = [s for s in sizes if s not in done and level * weights[s] > 3 * sizes[s]]
+        if not over:
+            return {s: done.get(s, level * weights[s]) for s in sizes}
+        done[min(over, key=lambda s: 3 * sizes[s] / weights[s])] = 0
+        done = {s: 3 * sizes[s] for s in done}
+
+
 def test_mix_meets_its_targets_and_repeats(spark, sf_dir, docs):
     found = run(spark, sf_dir, "op6_mixing")
     again = run(spark, sf_dir, "op6_mixing")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 import textwrap
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_rules, token_files, url_filter
+from tidemark.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_rules, token_files, tokenizing, url_filter
 from tidemark.tables import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, r long, key string, size long, d string, n_lines string, row string"
@@ -107,6 +109,23 @@ def test_contamination(docs, items):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {1, 2, 5, 6, 7}
 
 
+def test_contamination_lowers_only_a_to_z(spark):
+    """Capital sigmas, dotted I and Kelvin signs are words as they stand, beside whatever mark."""
+    same = ["Ο.Σ. ένα " * 7, "ΟΔΟΣ'Α İstanbul 5\u212a " * 6, "ΣΑΣ ΣΑΣ. σας", "ÉTÉ Étude A"]
+    docs = spark.createDataFrame([*enumerate(same), (4, "σας σας. σας"), (5, "éTÉ étude a"), (6, "ÉTÉ ÉTUDE a")], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(same)), "item_id long, text string")
+    found = {r.doc_id: (r.n_hit == r.n_words > 0, r.n_hit) for r in decontaminate.contamination(docs, items).collect()}
+    assert all(found[i][0] for i in range(4)) and [found[i][1] for i in (4, 5, 6)] == [0, 0, 3]
+
+
+@pytest.mark.parametrize("most", [(2, 1 << 20), (0, 0)], ids=["hashes", "all words"])
+def test_contamination_beyond_broadcasts(docs, items, monkeypatch, most):
+    want = {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most[0])
+    monkeypatch.setattr(decontaminate, "MAX_HASHES", most[1])
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items).collect()} == want
+
+
 def test_mixing(docs):
     rows = mixing.plan_mix(docs).collect()
     assert len(rows) == len(ROWS) and all(r.taken <= 3 * r.size for r in rows)
@@ -119,6 +138,29 @@ def test_tokens(docs):
     assert [r.n_tokens for r in rows if r.doc_id in (1, 2)] == [1, 1]
 
 
+def test_token_files_split_and_order(docs, spark, tmp_path):
+    """Many files to a part read back as one, in the order asked for."""
+    want = token_files.token_files(docs).orderBy("start").collect()
+    assert token_files.token_files(docs, parts=2, file_tokens=20).orderBy("start").collect() == want
+    docs.select("doc_id", "text").orderBy(F.desc_nulls_first("doc_id"), F.xxhash64("text")).write.parquet(f"file://{tmp_path}/x")
+    read = token_files.in_row_order(spark.read.parquet(f"file://{tmp_path}/x"))
+    found = token_files.token_files(read, file_tokens=20, order=("part", "place")).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted((r.doc_id for r in want), key=lambda i: (i is not None, -(i or 0)))
+    assert token_files.in_row_order(docs.groupBy("doc_id").agg(F.first("text").alias("text"))).where("part is not null").count() == 0
+
+
+def test_encoder_equals_library():
+    rng = random.Random(1)
+    marks = ["a", "b", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "'s", "1", "é", "!", "<|endoftext|>", "\x0b", "\x1c", "\x85", "\u2028", "x y", "漢"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(5000)] + [None, LONG]
+    encoder = tokenizing.Encoder(token_files.tokenizer_path())
+    for memory in (0, tokenizing.MEMORY_BYTES):
+        tokenizing.MEMORY_BYTES, kept = memory, tokenizing.MEMORY_BYTES
+        found = [x for lo, hi in tokenizing.slices(pa.array(texts)) for x in encoder.encode(pa.array(texts)[lo:hi])]
+        tokenizing.MEMORY_BYTES = max(kept, memory)
+        assert [x.tolist() for x in found] == [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def test_sequences_are_mapped(docs, tmp_path):
     folder = f"file://{tmp_path}"
     manifest = token_files.write_token_files(docs.select("doc_id", "text"), folder, token_files.tokenizer_path(), length=64).collect()

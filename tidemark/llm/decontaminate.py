@@ -11,20 +11,14 @@ WINDOW = 13
 #: Contaminated: at least one word in SHARE is hit.
 SHARE = 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same boundaries in a text that is not lower-cased.
-RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MAX_BROADCAST = 100_000
+#: Rows of words, windows or places, and of hashes of words, that may be broadcast.
+MAX_BROADCAST, MAX_HASHES = 100_000, 2_000_000
 
 
 def exact_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
-def loose_words(text: Column) -> Column:
-    """Words at the same places, lower-cased by Unicode's rules: equal wherever exact words are."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), RAW_SEPARATOR), "")
-
-
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, w): the items' windows as word arrays; a shorter item is one window."""
     w = items.select("item_id", exact_words(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -38,12 +32,21 @@ def window_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     All of a window's words are necessary, so the first in order of rarity is a sufficient prefix.
     """
     distinct = windows.select("w").distinct()
-    each = distinct.select("w", F.posexplode("w").alias("off", "x")).select("w", "off", F.lower("x").alias("word"))
-    rated = each.join(counts, "word", "left")
+    each = distinct.select("w", F.posexplode("w").alias("off", "word"))
+    rated = each.join(small(counts, MAX_BROADCAST), "word", "left")
     best = rated.groupBy("w").agg(F.min(F.struct("n", "word", "off")).alias("b"), F.count("n").alias("known"), F.count("*").alias("all"))
     return best.where("known = `all`").select("b.word", "b.off", "w")
 
 
+def _wanted(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``words`` joined to ``table`` (word, ...): broadcast if small, else by shuffle of words whose hash is in the table."""
+    chosen = small(table, MAX_BROADCAST)
+    if chosen is table:
+        hashes = cut(table.select(F.xxhash64("word").alias("h")).distinct(), "hashes")
+        words = words.join(small(hashes, MAX_HASHES), F.xxhash64("word") == F.col("h"), "left_semi")
+    return words.join(chosen, "word")
+
+
 def find_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(hits, windows). hits: a row per row of ``docs``: doc_id, r (hash of the text), n_words,
     n_hit and found (distinct windows that occur).
@@ -51,16 +54,17 @@ def find_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple
     Windows are ordered by the corpus counts of their words; only their rarest word is joined
     to the documents' words, whose places must leave room for the whole window on both sides.
     The windows at those places are then compared word by word. The tables made from the
-    items are broadcast up to MAX_BROADCAST rows and shuffled beyond; texts are shuffled
-    only when the places found are more than may be broadcast.
+    items are broadcast up to MAX_BROADCAST rows and joined by shuffle beyond; then only the
+    documents' words whose hash is one of the wanted words' are shuffled (all words where even
+    those are over MAX_HASHES). Texts are shuffled only when the places found are more than
+    may be broadcast.
     """
-    # U+0130 and U+212A lower to ASCII letters, so RAW_SEPARATOR cuts nothing that SEPARATOR does not
     windows = cut(item_windows(items, size), "windows")
-    wanted = cut(windows.select(F.explode("w").alias("x")).select(F.lower("x").alias("word")).distinct(), "wanted")
-    counts = docs.select(F.explode(loose_words(F.col("text"))).alias("word")).join(small(wanted, MAX_BROADCAST), "word").groupBy("word").agg(F.count("*").alias("n"))
-    prefixes = cut(window_prefixes(windows, counts), "prefixes")
-    words = docs.select("doc_id", F.xxhash64("text").alias("r"), loose_words(F.col("text")).alias("x"))
-    places = words.select("doc_id", "r", F.size("x").alias("n"), F.posexplode("x").alias("pos", "word")).join(small(prefixes, MAX_BROADCAST), "word")
+    wanted = cut(windows.select(F.explode("w").alias("word")).distinct(), "wanted")
+    counts = _wanted(docs.select(F.explode(exact_words(F.col("text"))).alias("word")), wanted).groupBy("word").agg(F.count("*").alias("n"))
+    prefixes = cut(window_prefixes(windows, cut(counts, "counts")), "prefixes")
+    words = docs.select("doc_id", F.xxhash64("text").alias("r"), exact_words(F.col("text")).alias("x"))
+    places = _wanted(words.select("doc_id", "r", F.size("x").alias("n"), F.posexplode("x").alias("pos", "word")), prefixes)
     fits = places.select("doc_id", "r", "n", (F.col("pos") - F.col("off")).alias("start"), "w").where("start >= 0 and start + size(w) <= n")
     asked = cut(fits.groupBy(F.col("doc_id").alias("d"), F.col("r").alias("r1")).agg(F.collect_set(F.struct("start", F.size("w").alias("len"), F.array_join("w", " ").alias("w"))).alias("asked")), "places")
     n_asked = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0]

@@ -10,15 +10,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.tokenizing import Encoder
-from tidemark.tables import cut, shared_dir, table
+from tidemark.llm.tokenizing import Encoder, slices
+from tidemark.tables import cut, scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE, BATCH = 2048, 64
 #: A file is closed at the first document end beyond this many tokens.
 FILE_TOKENS = 16_000_000
+#: Bytes of input (as its files have them) for each part, and the most parts.
+PART_BYTES, MOST_PARTS = 256_000_000, 400_000
 END = 0
 MANIFEST = "file string, part int, number int, documents long, tokens long"
 READ_BACK = "part int, number int, doc_id long, position long, local_start long, n_tokens long, ids_crc32 long"
@@ -120,23 +123,29 @@ def read_sequence(path: str, index: int) -> tuple[np.ndarray, np.ndarray]:
     return b.column("ids")[i].values.to_numpy(), b.column("mask")[i].values.to_numpy(zero_copy_only=False)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, length: int = SEQUENCE, parts: int | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Write ``docs`` (doc_id, text) below ``folder`` (a URI that all executors reach); returns the manifest.
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer: str, length: int = SEQUENCE, parts: int | None = None, file_tokens: int = FILE_TOKENS, order: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """Write ``docs`` (doc_id, text, and the columns of ``order``) below ``folder`` (a URI that all
+    executors reach); returns the manifest.
 
-    Documents are range-partitioned and sorted by doc_id (ties by text, null ids first), encoded, closed with
-    END and packed into sequences of ``length``. File (part, number) order is doc_id order; a
-    document lies in one file, and only a file's last sequence is padded. Files are written
-    under a temporary name, renamed when whole, and count only when the manifest, which is
-    written last, lists them: a task that runs again leaves unlisted files, never doubled rows.
+    Documents are range-partitioned and sorted by ``order`` (ties by the hash of the text, nulls
+    first), encoded, closed with END and packed into sequences of ``length``. File (part,
+    number) order is that order; a document lies in one file, and only a file's last sequence
+    is padded. There is a part for each PART_BYTES of input, and a task holds the pieces of
+    the encoder and the ids of one batch of sequences. Files are written under a temporary
+    name, renamed when whole, and count only when the manifest, which is written last, lists
+    them: a task that runs again leaves unlisted files, never doubled rows.
 
     Null text is encoded as ''. Rows that repeat an id are separate documents. Extra columns
     are ignored. An empty table gives an empty manifest.
     """
-    dtype = "uint16" if Encoder(tokenizer).size <= 1 << 16 else "uint32"
+    encoder_size = Encoder(tokenizer).size
+    dtype = "uint16" if encoder_size <= 1 << 16 else "uint32"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
-        part, encoder, writer, number = TaskContext.get().partitionId(), Encoder.shared(tokenizer, dtype), None, 0
+        part, encoder, writer, number = TaskContext.get().partitionId(), Encoder(tokenizer, dtype), None, 0
         done = []
 
         def finish() -> None:
@@ -146,9 +155,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, length: int
         end = np.array([END], dtype)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo in range(0, len(ids), 256):
-                some = [x or "" for x in texts.slice(lo, 256).to_pylist()]
-                for doc_id, found in zip(ids[lo : lo + 256], encoder.encode(some), strict=True):
+            for lo, hi in slices(texts):
+                for doc_id, found in zip(ids[lo:hi], encoder.encode(texts.slice(lo, hi - lo)), strict=True):
                     if writer is None:
                         writer = SequenceWriter(fs, f"{root}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.arrow", length, dtype)
                     writer.add(doc_id, np.concatenate([found, end]))
@@ -160,14 +168,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, length: int
         if done:
             yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, root = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    keys = [*order, "tie"]
+    ordered = docs.select(*dict.fromkeys(["doc_id", "text", *order]), F.xxhash64("text").alias("tie"))
+    ordered = ordered.repartitionByRange(parts or _parts(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     return cut(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
+def _parts(docs: DataFrame) -> int:
+    """A part for each PART_BYTES of what Spark knows the input to hold, and one for each shuffle partition at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
+
+
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start (tokens before it), n_tokens, ids_crc32."""
 
@@ -192,10 +206,21 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return found.join(before, ["part", "number"]).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, **options) -> DataFrame:
     """Write ``docs`` as token files and read them back; see write_token_files and read_token_files."""
-    folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return read_token_files(write_token_files(docs, folder, tokenizer or tokenizer_path()), folder)
+    folder = folder or scratch(docs.sparkSession, "tokens")
+    return read_token_files(write_token_files(docs, folder, tokenizer or tokenizer_path(), **options), folder)
+
+
+def in_row_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, part, place) of ``docs`` read from Parquet files: the number in a row's file name and its place in the file.
+
+    So rows keep the order in which Spark wrote them. Both are null where rows come from elsewhere.
+    """
+    try:
+        return docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).try_cast("long").alias("part"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.lit(None).cast("long").alias("part"), F.lit(None).cast("long").alias("place"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
