@@ -8,7 +8,7 @@ from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.jaccard_join import keep_one_of_each
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.quality_rules import keep_good
-from tidemark.llm.token_files import token_files
+from tidemark.llm.token_files import in_row_order, token_files
 from tidemark.tables import cut, table
 
 #: Robust estimates, components and token files have no SQL; tests hold the stages against brute force.
@@ -31,13 +31,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in training order."""
     return mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in doc_id order, read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_files(docs)
+    """Token files in the order of the rows before, which is the training order, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files(in_row_order(docs), order=("part", "place", "doc_id"))
 
 
 STAGES = [
