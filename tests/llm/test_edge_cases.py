@@ -184,6 +184,33 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), rules, links).count() == 0
 
 
+def test_targets_are_made_absolute(spark):
+    base = "http://h.org/a/b/page.html?x=1#f"
+    want = {
+        "c.html": "http://h.org/a/b/c.html", "./c/./d": "http://h.org/a/b/c/d", "../c": "http://h.org/a/c", "../../../c?q#r": "http://h.org/c?q#r", "/z": "http://h.org/z", "?y=2": "http://h.org/a/b/page.html?y=2",
+        "//o.org/1": "http://o.org/1", "https://o.org/2": "https://o.org/2", "mailto:x": None, "#top": None,
+    }
+    rows = spark.createDataFrame([(base, t) for t in want], "base string, t string").select("t", url_filter.absolute(F.col("base"), F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == want
+    bare = spark.createDataFrame([("http://h.org", "c"), ("no host", "c")], "base string, t string").select(url_filter.absolute(F.col("base"), F.col("t")).alias("u")).collect()
+    assert [r.u for r in bare] == ["http://h.org/c", None]
+
+
+def test_url_query_on_linked_pages(spark, same_rows, tmp_path):
+    """The whole query and its SQL on pages that carry canonical links and refreshes."""
+    link = '<LINK href="{}" rel="nofollow canonical">'
+    rows = [
+        (1, "http://x.net/es/1", None), (2, "http://b.org/a/2?utm_source=f", link.format("http://x.net/es/1/")), (3, "https://b.org/a/2", ""), (4, "http://c.org/d/4", '<link rel=stylesheet href="http://x.net/es/1"><meta http-equiv="refresh" content="0; url=../5?a=1&amp;b=2">'),
+        (5, "http://c.org/5?a=1&b=2", link.format("http://e.org/") + link.format("//b.org/a/2")), (6, "http://e.org/#x", None), (7, "http://f.org/7", link.format("#top") + link.format("mailto:x")), (8, "foo?x=1", link.format("http://x.net/es/1")),
+        (9, "bar?x=1", None), (10, None, link.format("http://x.net/es/1")), (11, "http://g.org/11", "<meta name=refresh content='url=http://x.net/es/1'>"), (12, "http://k.com/", link.format("http://l.org/12")), (13, "http://l.org/12", link.format("http://x.net/fr/")),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"file://{tmp_path}/p")
+    next((tmp_path / "p").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    found = url_filter.op1_url_filters(spark, str(tmp_path))
+    assert {r.page_id for r in found.collect() if r.verdict == "block"} == {1, 2, 3, 4, 5, 6}
+    same_rows(found, url_filter.ORACLE, str(tmp_path))
+
+
 def test_chat_parts(spark):
     turns = spark.sql("""select 1L conv_id, 0L turn, 'assistant' role, array(
         named_struct('type', 'text', 'text', '<|end', 'ref', null, 'width', null, 'height', null, 'seconds', null, 'pages', null),

@@ -11,11 +11,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: neighbours are re-hung on the smallest node
-    known, so the number of rounds grows with the logarithm of the longest path. A node's
+    known, so the number of rounds grows with the logarithm of the longest path and they always come to an end. A node's
     neighbourhood is only ever reduced by ``min`` (pre-aggregated before the shuffle) and
     joined, never gathered, so a star holding a third of all edges stays splittable. Each
     round's edges are written to the shared folder. Null ends and loops are ignored; an
@@ -24,9 +24,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     pairs = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a <> b")
     current = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _state(current)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         # large star: every larger neighbour of a node moves to the smallest node around it
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -46,8 +44,6 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         seen = _state(current)
         if seen == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.text import LOWER, UPPER, ascii_lower
-from tidemark.tables import cut, table
+from tidemark.tables import cut, small, table
 
 RULES = [
     ("allow", "com", "/"),
@@ -16,11 +16,17 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+LINK_TAG = r"(?is)<link\b[^>]*>"
+CANONICAL = r"(?is)\brel\s*=\s*(\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)"
+META_TAG = r"(?is)<meta\b[^>]*>"
+REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 TRACKING = r"(^|&)(utm_[a-z]*|ref|gclid|fbclid)=[^&]*"
+#: A url's scheme and host, its folder, and itself without query and fragment.
+ROOT, FOLDER, BARE = r"(?s)^(.*?://[^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*/)", r"(?s)^([^?#]*)"
+#: Steps up (..) that are resolved in a relative target.
+STEPS_UP = 8
 MAX_BROADCAST_RULES = 100_000
 
 
@@ -33,27 +39,40 @@ def path(url: Column) -> Column:
 
 
 def alias_key(url: Column) -> Column:
-    """Host, path without its last slashes and the query without tracking parameters; no scheme or fragment."""
+    """Host, path without its last slashes and the query without tracking parameters; no scheme or fragment. '' without a host."""
     query = F.regexp_replace(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), TRACKING, "")
-    return F.concat_ws("?", F.concat(host(url), F.rtrim(path(url), F.lit("/"))), F.nullif(F.ltrim(query, F.lit("&")), F.lit("")))
+    key = F.concat_ws("?", F.concat(host(url), F.rtrim(path(url), F.lit("/"))), F.nullif(F.ltrim(query, F.lit("&")), F.lit("")))
+    return F.when(host(url) == "", "").otherwise(key)
+
+
+def absolute(base: Column, target: Column) -> Column:
+    """``target`` of a link on page ``base``: with scheme, from the host's root, from the page's folder, or another query
+    of the page. Null: another scheme than one with ://, a fragment, or a base without a host."""
+    root = F.regexp_extract(base, ROOT, 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(base, FOLDER, 1), F.lit("")), F.lit("/"))
+    resolved = F.regexp_replace(F.concat(folder, F.regexp_extract(target, BARE, 1)), r"/(\./)+", "/")
+    for _ in range(STEPS_UP):
+        resolved = F.regexp_replace(resolved, r"/[^/]+/\.\./", "/")
+    resolved = F.concat(root, F.regexp_replace(resolved, r"^(/\.\.)+/", "/"), F.regexp_replace(target, BARE, ""))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((root == "") | target.rlike("^#|^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, BARE, 1), target))
+        .otherwise(resolved)
+    )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url): canonical links and meta refreshes of the pages' html, made absolute."""
-    found = pages.select(
-        F.col("url").alias("from_url"),
-        F.explode(F.array(
-            F.regexp_extract(F.regexp_extract("html", CANONICAL_TAG, 0), HREF, 1),
-            F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), REFRESH_URL, 1),
-        )).alias("to"),
-    ).where("to <> ''")
-    scheme = F.regexp_extract("from_url", r"(?s)^(.*?:)//", 1)
-    absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(scheme, F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("//"), host(F.col("from_url")), F.col("to")))
+    """(from_url, to_url): all canonical links and meta refreshes of the pages' html, made absolute; see ``absolute``."""
+    all_of = lambda tag, kind: F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
+    targets = F.concat(
+        F.transform(all_of(LINK_TAG, CANONICAL), lambda t: F.regexp_extract(t, HREF, 1)),
+        F.transform(all_of(META_TAG, REFRESH), lambda t: F.regexp_extract(t, REFRESH_URL, 1)),
     )
-    return found.select("from_url", absolute.alias("to_url")).where("to_url is not null")
+    found = pages.select(F.col("url").alias("from_url"), F.explode(targets).alias("to")).where("to <> ''")
+    return found.select("from_url", absolute(F.col("from_url"), F.replace("to", F.lit("&amp;"), F.lit("&"))).alias("to_url")).where("to_url is not null")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -66,9 +85,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    if rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
-        rules = F.broadcast(rules)
-    fits = urls.select("url", "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host").where(
+    fits = urls.select("url", "path", F.explode(suffixes).alias("rule_host")).join(small(rules, MAX_BROADCAST_RULES), "rule_host").where(
         F.col("path").startswith(F.col("rule_path"))
     )
     rule = F.concat("rule_host", "rule_path")
@@ -82,24 +99,30 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFram
 
     rules: action (allow/block), rule_host, rule_path. links: (from_url, to_url) of redirects
     and canonical links. A url's own rule decides. A url without one shares the decision of
-    its aliases: urls that differ in scheme, fragment, last slash or tracking parameters only,
-    and everything connected to them by links. There an explicit allow outranks any block,
-    and a component without rules is allowed. Alias groups are reduced by max, never gathered.
-
-    Null urls and urls without '://' have empty host and path and no aliases and are allowed.
-    Repeated rows are judged alike, each keeping its row. Clashing extra columns are replaced
-    by the new ones. Null link ends are ignored; an empty table gives an empty result.
+    its aliases: urls that differ in scheme, fragment, last slash or tracking parameters only
+    count as linked with the form they share, and aliases are what links connect. There an
+    explicit allow outranks any block, and a component without rules is allowed. Components
+    take the edges of forms that several urls share or a link names; a group of aliases is a
+    star, reduced by min and max, never gathered.
+
+    Null urls and urls without '://' have empty host and path and no aliases and are allowed,
+    as are those with an empty host. Repeated rows are judged alike, each keeping its row.
+    Clashing extra columns are replaced by the new ones. Null link ends are ignored; an empty
+    table gives an empty result.
     """
     links = links.where("from_url is not null and to_url is not null").select("from_url", "to_url").distinct()
     known = pages.select("url").union(links.select("from_url")).union(links.select("to_url")).where("url is not null").distinct()
     known = known.select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), alias_key(F.col("url")).alias("key"))
     ruled = cut(known.join(match_rules(known, rules), "url", "left"), "urls")
-    edges = links.select(alias_key(F.col("from_url")).alias("u"), alias_key(F.col("to_url")).alias("v"))
-    named = edges.where("u <> '' and v <> ''")
-    groups = connected_components(named)
-    member = ruled.join(groups, ruled["key"] == groups["node"], "left").select(
-        "url", "rule", "action",
-        F.when(F.col("key") == "", F.concat(F.lit("://"), F.col("url"))).otherwise(F.coalesce("component", "key")).alias("component"),
+    node = lambda key: F.concat(F.lit("alias "), key)
+    linked = links.select(alias_key(F.col("from_url")).alias("u"), alias_key(F.col("to_url")).alias("v")).where("u <> '' and v <> ''")
+    named = ruled.where("key <> ''")
+    several = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = several.union(linked.select("u")).union(linked.select("v")).distinct()
+    aliases = named.join(several, "key", "left_semi").select(F.col("url").alias("u"), node(F.col("key")).alias("v"))
+    groups = connected_components(aliases.union(linked.select(node(F.col("u")), node(F.col("v")))))
+    member = ruled.join(groups, ruled["url"] == groups["node"], "left").select(
+        "url", "rule", "action", F.coalesce("component", "url").alias("component"),
     )
     shared = member.groupBy("component").agg(
         F.max(F.col("action") == "allow").alias("any_allow"), F.max(F.col("action") == "block").alias("any_block")
@@ -111,7 +134,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFram
     judged = member.join(shared, "component").select(F.col("url").alias("u"), "rule", verdict.alias("verdict"), "component")
     new = ("host", "path", "rule", "verdict", "component")
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col("url").alias("page_url"))
-    return rows.join(judged, F.col("page_url") == F.col("u"), "left").select(
+    # null urls are spread by a key that no url has
+    asked = rows.withColumn("asked", F.coalesce("page_url", F.concat(F.lit("\x00"), F.xxhash64("row").cast("string"))))
+    return asked.join(judged, F.col("asked") == F.col("u"), "left").select(
         *[F.col("row").getField(c).alias(c) for c in pages.columns if c not in new],
         host(F.col("page_url")).alias("host"), path(F.col("page_url")).alias("path"),
         "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "component",
@@ -125,35 +150,45 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages.select("page_id", "url"), rules, page_links(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
-_KEY = r"""concat_ws('?', translate(regexp_extract({u}, '{split}', 1), '{up}', '{low}') || rtrim(regexp_extract({u}, '{split}', 2), '/'),
-  nullif(ltrim(regexp_replace(regexp_extract({u}, '(?s)^[^?#]*\?([^#]*)', 1), '{track}', '', 'g'), '&'), ''))"""
-
-
 def _key(u: str) -> str:
-    return _KEY.format(u=u, split=SPLIT, up=UPPER, low=LOWER, track=TRACKING)
+    host_ = f"translate(regexp_extract({u}, '{SPLIT}', 1), '{UPPER}', '{LOWER}')"
+    query = f"ltrim(regexp_replace(regexp_extract({u}, '(?s)^[^?#]*\\?([^#]*)', 1), '{TRACKING}', '', 'g'), '&')"
+    return f"CASE WHEN {host_} = '' THEN '' ELSE concat_ws('?', {host_} || rtrim(regexp_extract({u}, '{SPLIT}', 2), '/'), nullif({query}, '')) END"
 
 
 def _quoted(x: str) -> str:
     return x.replace("'", "''")
 
 
+def _resolved() -> str:
+    out = f"regexp_replace(coalesce(nullif(regexp_extract(url, '{FOLDER}', 1), ''), '/') || regexp_extract(t, '{BARE}', 1), '/(\\./)+', '/', 'g')"
+    for _ in range(STEPS_UP):
+        out = f"regexp_replace({out}, '/[^/]+/\\.\\./', '/', 'g')"
+    return f"regexp_extract(url, '{ROOT}', 1) || regexp_replace({out}, '^(/\\.\\.)+/', '/') || regexp_replace(t, '{BARE}', '')"
+
+
 ORACLE = f"""
 WITH RECURSIVE rules(action, rule_host, rule_path) AS (VALUES {', '.join(str(r) for r in RULES)}),
 tags AS (
-  SELECT url, regexp_extract(regexp_extract(html, '{_quoted(CANONICAL_TAG)}'), '{_quoted(HREF)}', 1) AS t FROM pages
+  SELECT url, 1 AS kind, unnest(regexp_extract_all(html, '{_quoted(LINK_TAG)}')) AS tag FROM pages
   UNION ALL
-  SELECT url, regexp_extract(regexp_extract(html, '{_quoted(REFRESH_TAG)}'), '{_quoted(REFRESH_URL)}', 1) FROM pages),
-links AS (SELECT DISTINCT url AS from_url, CASE WHEN t LIKE '%://%' THEN t
+  SELECT url, 2, unnest(regexp_extract_all(html, '{_quoted(META_TAG)}')) FROM pages),
+targets AS (SELECT url, replace(CASE kind WHEN 1 THEN regexp_extract(tag, '{_quoted(HREF)}', 1) ELSE regexp_extract(tag, '{_quoted(REFRESH_URL)}', 1) END, '&amp;', '&') AS t
+  FROM tags WHERE regexp_matches(tag, CASE kind WHEN 1 THEN '{_quoted(CANONICAL)}' ELSE '{_quoted(REFRESH)}' END)),
+links AS (SELECT DISTINCT url AS from_url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN regexp_extract(url, '{ROOT}', 1) = '' OR regexp_matches(t, '^#|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
     WHEN t LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-    WHEN t LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || '//' || translate(regexp_extract(url, '{SPLIT}', 1), '{UPPER}', '{LOWER}') || t END AS to_url
-  FROM tags WHERE t <> ''),
+    WHEN t LIKE '/%' THEN regexp_extract(url, '{ROOT}', 1) || t
+    WHEN t LIKE '?%' THEN regexp_extract(url, '{BARE}', 1) || t
+    ELSE {_resolved()} END AS to_url
+  FROM targets WHERE t <> ''),
 urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT to_url FROM links WHERE to_url IS NOT NULL),
 parts AS (SELECT url, translate(regexp_extract(url, '{SPLIT}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(url, '{SPLIT}', 2) AS path, {_key('url')} AS key FROM urls),
 fits AS (SELECT p.url, r.rule_host || r.rule_path AS rule, r.action,
     row_number() OVER (PARTITION BY p.url ORDER BY length(r.rule_host || r.rule_path) DESC, length(r.rule_host) DESC) AS n
   FROM parts p JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)),
 ruled AS (SELECT p.*, f.rule, f.action FROM parts p LEFT JOIN fits f ON p.url = f.url AND f.n = 1),
-edges AS (SELECT {_key('from_url')} AS u, {_key('to_url')} AS v FROM links WHERE to_url IS NOT NULL),
+edges AS (SELECT {_key('from_url')} AS u, {_key('to_url')} AS v FROM links WHERE from_url IS NOT NULL AND to_url IS NOT NULL),
 both_ways AS (SELECT u, v FROM edges WHERE u <> '' AND v <> '' UNION SELECT v, u FROM edges WHERE u <> '' AND v <> ''),
 reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.other = b.u),
 comps AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
