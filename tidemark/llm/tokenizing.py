@@ -16,7 +16,7 @@ PIECE = re.compile(r" (?=\S)")
 #: A blank before white space or the end, for RE2; where none is, every blank begins a token.
 ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 #: Bytes of text that are split at once, and of remembered pieces with their ids.
-SLICE_BYTES, MEMORY_BYTES = 4_000_000, 24_000_000
+SLICE_BYTES, MEMORY_BYTES = 4_000_000, 32_000_000
 #: Pieces that the library gets as one text, and whose ids are gathered at once.
 JOINED, GATHERED = 2000, 500_000
 
@@ -42,6 +42,15 @@ class Encoder:
     starts anew from the latest run's pieces.
     """
 
+    _shared: dict = {}
+
+    @classmethod
+    def shared(cls, path: str, dtype: str) -> "Encoder":
+        """One encoder for each Python worker, whose memory the next task finds filled."""
+        if (path, dtype) not in cls._shared:
+            cls._shared = {(path, dtype): cls(path, dtype)}
+        return cls._shared[path, dtype]
+
     def __init__(self, path: str, dtype: str = "uint16"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
