@@ -9,11 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import hidden_markov, jaccard_join, registry, token_files
+from tidemark.llm import hidden_markov, jaccard_join, mixing, quality_rules, registry, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -170,5 +172,82 @@ def test_pipeline_stages_take_effect(spark, sf_dir, docs):
     for start, i, n, crc in rows:
         assert (start, (n, crc)) == (at, want[i])
         at += n
-    assert [r[1] for r in rows] == sorted(r[1] for r in rows)
+    clean = pd.DataFrame([d for d in docs if d["doc_id"] in single - dirty])
+    order = mixing.training_order(mixing.plan_mix(spark.createDataFrame(clean))).where("2 * words >= size or at = 0").collect()
+    assert [r[1] for r in rows] == [r.doc_id for r in order]
     assert max(Counter(r[1] for r in rows).values()) <= 3
+
+
+def least_determinant(x, floors, share, rng, starts=60, steps=30):
+    """Exact h-subsets from random starts to convergence: mean and floored covariance of the least determinant."""
+    h, best = int(np.ceil(share * len(x))), None
+    for _ in range(starts):
+        some = x[rng.choice(len(x), 8, replace=False)]
+        mu, v = some.mean(0), np.cov(some.T, bias=True)
+        for _ in range(steps):
+            np.fill_diagonal(v, np.maximum(np.diag(v), floors**2))
+            near = x[np.argsort(np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(v), x - mu))[:h]]
+            mu, v = near.mean(0), np.cov(near.T, bias=True)
+        np.fill_diagonal(v, np.maximum(np.diag(v), floors**2))
+        if best is None or np.linalg.det(v) < best[0]:
+            best = np.linalg.det(v), mu, v
+    return best
+
+
+def test_robust_estimates_equal_a_search_over_subsets(spark):
+    """Groups with shifted bulks: the estimate is that of the least determinant, and only the planted vectors lie beyond the limit."""
+    rng = np.random.default_rng(5)
+    q = quality_rules
+    mix = np.array([[0.3, 0, 0, 0], [0.05, 0.08, 0, 0], [0, 0.02, 0.25, 0], [0.02, 0, 0.03, 0.09]]) * q.UNIT
+    bulk = rng.normal(size=(600, 4)) @ mix.T + np.array([1.5, 0.3, 0.4, 0.3]) * q.UNIT
+    planted = rng.normal(size=(150, 4)) * 200 + np.array([4.5, 1.2, 0.1, 0.9]) * q.UNIT
+    x = np.round(np.concatenate([bulk, planted])).astype(int)
+    rows = [("a", *map(int, r), 1) for r in x] + [("b", *map(int, r), 1) for r in np.round(bulk[:300]).astype(int)]
+    vectors = spark.createDataFrame(rows, "g string, x_0 long, x_1 long, x_2 long, x_3 long, m long")
+    found = {r.g: r for r in q.covariance_estimates(vectors).collect()}
+    scale = q.COVERED / q.chi2_cdf(q.chi2_quantile(q.COVERED, 4), 6)
+    floors = np.array(list(q.FLOORS.values())) * q.UNIT
+    for g, own in (("a", x), ("b", x[:300])):
+        det, mu, v = least_determinant(own.astype(float), floors / np.sqrt(scale), q.COVERED, rng)
+        mine = np.array([[found[g][f"v_{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)]) / scale
+        assert np.linalg.det(mine) <= 1.1 * det
+        assert np.all(np.abs(np.array([found[g][f"mu_{i}"] for i in range(4)]) - mu) < 0.25 * np.sqrt(np.diag(v)))
+        far = np.einsum("ij,jk,ik->i", own - mu, np.linalg.inv(mine * scale), own - mu)
+        beyond = far > q.chi2_quantile(1 - q.TAIL, 4)
+        assert beyond[600:].all() and not beyond[: min(600, len(own))].any()
+
+
+def test_one_odd_document_is_rejected(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    rows = [(i, " ".join(word(int(rng.integers(3, 8))) for _ in range(120)), "en", "s") for i in range(300)]
+    rows += [(1000, " ".join(word(40) for _ in range(120)), "en", "s"), (1001, " ".join(f"{word(4)}#$" for _ in range(120)), "en", "tiny")]
+    kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(300))
+
+
+def test_positions_follow_the_schedules(spark, sf_dir):
+    """Words trained up to a time are the integral of the source's schedule up to it, and the order is that of positions."""
+    plan = mixing.plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = mixing.training_order(plan).collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    ordered = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    for k, source in enumerate(ordered):
+        knots = mixing.SCHEDULES[float(k % 3 + 1)]
+        own = [r for r in rows if r.source == source]
+        total, at = sum(r.words for r in own), 0
+        grid = np.linspace(0, 1, 20_001)
+        weight = np.interp(grid, *zip(*knots))
+        area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        for r in own:
+            assert abs(np.interp(r.position, grid, area / area[-1]) - (at + r.words / 2) / total) < 1e-6
+            at += r.words
+
+
+def test_every_source_with_a_target_is_mixed(spark):
+    """A source whose target is less than half its one document is taken all the same."""
+    docs = spark.createDataFrame([(1, "w " * 10, "a"), (2, "w " * 1000, "b"), (3, "w " * 10, None), (4, "w " * 10, None)], "doc_id long, text string, source string")
+    flat = lambda s: s.withColumn("weight", F.lit(1.0))
+    plan = {r.doc_id: r for r in mixing.plan_mix(docs, weigh=flat, share=0.3).collect()}
+    assert (plan[1].taken, plan[2].taken, plan[3].taken + plan[4].taken) == (30, 219, 60)
+    assert {r.doc_id for r in mixing.mix_documents(docs, weigh=flat, share=0.3).collect()} == {1, 2, 3, 4}

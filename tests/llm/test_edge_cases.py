@@ -226,9 +226,26 @@ def test_chat_parts(spark):
     assert chat_format.format_conversations(plain.limit(0)).count() == 0
 
 
+def test_chat_odd_parts(spark):
+    """Null parts, unknown types and sizes that are no sizes have a defined outcome; long texts stay whole."""
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    parts = [
+        None, ("text", None, None, None, None, None, None), ("audio", None, "a", None, None, 4.0, None), ("audio", None, "n", None, None, float("nan"), None), ("audio", None, "i", None, None, float("inf"), None),
+        ("document", None, "d", None, None, None, 3), ("document", None, None, None, None, None, -1), ("video", "lost", "v", None, None, None, None), (None, None, "z", None, None, None, None), ("image", None, "m", -5, 0, None, None), ("text", LONG, None, None, None, None, None),
+    ]
+    turns = spark.createDataFrame([(1, 0, "assistant", parts), (2, 0, None, None)], f"conv_id long, turn long, role string, parts array<{part}>")
+    found = {r.conv_id: r for r in chat_format.format_conversations(turns).collect()}
+    assert [(a.type, a.ref, a.tokens) for a in found[1].attachments] == [
+        ("audio", "a", 50), ("audio", "n", 1), ("audio", "i", 1), ("document", "d", 1536), ("document", None, 512), ("video", "v", 1), (None, "z", 1), ("image", "m", 1)
+    ]
+    assert found[1].formatted.count(chat_format.UNKNOWN) == 2 and found[1].attachment_tokens == 2103
+    assert chat_format.parse(found[1].formatted)[0][1].endswith(LONG) and chat_format.parse(found[2].formatted) == [("", "")]
+
+
 @pytest.mark.parametrize("apply", [
     line_dedup.drop_repeated_lines, lambda d: lm_score.score_texts(d, rounds=1), quality_rules.judge_quality, jaccard_join.link_components, mixing.plan_mix, mixing.mix_documents, token_files.token_files,
-    lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+    lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text")), lambda d: decontaminate.drop_contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+    quality_rules.keep_good, jaccard_join.keep_one_of_each, lambda d: license_scan.scan_licenses(d, d.sparkSession.createDataFrame(license_scan.KNOWN[:3], "license_id string, text string")),
 ])
 def test_empty_table(docs, apply):
     assert apply(docs.limit(0)).count() == 0

@@ -14,6 +14,7 @@ from tidemark.tables import table
 
 START, SEP, STOP = "<|start|>", "<|sep|>", "<|end|>\n"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+UNKNOWN = "<|unknown|>"
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 #: Tokens of a placeholder: image patches of PATCH pixels, audio frames a second, tokens a page.
 PATCH, FRAMES, PAGE = 28, 12.5, 512
@@ -48,18 +49,17 @@ class PartVisitor:
         self.pieces.append(piece)
         self.at += len(piece)
 
-    def turn(self, number: int, role: str | None, parts: list[dict]) -> None:
+    def turn(self, number: int, role: str | None, parts: list[dict | None]) -> None:
         self.put(START + escape(role or "") + SEP)
         run = []  # neighbouring texts are escaped together, as a control string may span them
         for i, part in enumerate(parts):
-            if part["type"] == "text":
-                run.append(part["text"] or "")
+            kind = part["type"] if part else "text"
+            if kind == "text":
+                run.append((part and part["text"]) or "")
                 continue
             self.visit_text("".join(run), role)
             run = []
-            visit = getattr(self, f"visit_{part['type']}", None)
-            if visit is None:
-                raise ValueError(f"unknown content part {part['type']!r}")
+            visit = getattr(self, f"visit_{kind}") if kind in PLACEHOLDERS else self.visit_unknown
             self.attach(number, i, part, visit(part))
         self.visit_text("".join(run), role)
         self.put(STOP)
@@ -72,17 +72,21 @@ class PartVisitor:
                 self.spans.append({"start": start, "stop": self.at})
 
     def visit_image(self, part: dict) -> int:
-        return math.ceil((part["width"] or PATCH) / PATCH) * math.ceil((part["height"] or PATCH) / PATCH)
+        return math.ceil(max(1, part["width"] or PATCH) / PATCH) * math.ceil(max(1, part["height"] or PATCH) / PATCH)
 
     def visit_audio(self, part: dict) -> int:
-        return max(1, math.ceil((part["seconds"] or 0) * FRAMES))
+        seconds = part["seconds"] or 0
+        return max(1, math.ceil(seconds * FRAMES)) if math.isfinite(seconds) else 1
 
     def visit_document(self, part: dict) -> int:
         return max(1, part["pages"] or 1) * PAGE
 
+    def visit_unknown(self, part: dict) -> int:
+        return 1
+
     def attach(self, number: int, i: int, part: dict, tokens: int) -> None:
         self.attachments.append({"turn": number, "part": i, "type": part["type"], "ref": part["ref"], "at": self.at, "tokens": tokens})
-        self.put(PLACEHOLDERS[part["type"]])
+        self.put(PLACEHOLDERS.get(part["type"], UNKNOWN))
 
 
 def _format(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -118,8 +122,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     Turns are ordered by number (null first), equal ones by role, then text or parts; repeated
     rows are turns each. Null text is ''; null role is '' and never under the loss. A null
     conv_id is a conversation of its own. Extra columns are ignored; an empty table gives an
-    empty result. A conversation becomes one value and so has to fit one task; a part of an
-    unknown type is an error.
+    empty result. A null part is an empty text; a part of an unknown or null type becomes the
+    placeholder UNKNOWN of one token, its type and reference recorded like others'. Missing,
+    negative, infinite or NaN sizes count as one patch, frame or page. A conversation becomes
+    one value and so has to fit one task.
     """
     if "parts" in turns.columns:
         parts = F.col("parts").cast(PARTS)

@@ -27,6 +27,8 @@ OFTEN_HERE, OFTEN, COMMON = 2, 8, 200_000
 PAIRS_PER_KEY, WORTH = 4, 0.05
 #: Words of the sketches that are compared within the last join, and rows of them that may be broadcast.
 MOST_WORDS, SKETCH_ROWS = 32, 50_000
+#: Rows of classes of equal sets, and of ids, that may be broadcast.
+CLASS_ROWS, ID_ROWS = 100_000, 200_000
 U = np.uint64
 
 
@@ -311,10 +313,11 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     rarity = spark.sparkContext.broadcast(Rarity(np.array([r.f1 for r in often], np.int64).view(U), np.array([r.n for r in often], np.int64)))
     described = everything.where("not often").drop("often")
     full = described.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = cut(
-        full.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep", "n_shingles").distinct(), "members"
-    )
+    # only sets that several documents hold are joined back; as a written table, so that a large group of copies can be split
+    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    classes = small(cut(classes, "classes"), CLASS_ROWS)
+    members = full.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
+    members = cut(members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n_shingles").distinct(), "members")
     usable = docs.where("doc_id is not null and text is not null")
     keyed = usable.mapInArrow(lambda it: chained_keys(it, k, rarity), "key long, doc_id long")
     met = keyed.select("doc_id", F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id")).alias("before")).where("before <> doc_id")
@@ -332,7 +335,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     tried = ends.select("x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
     pairs = cut(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     discard(chained)
-    texts = cut(usable.join(small(asked), "doc_id", "left_semi"), "texts")
+    texts = cut(usable.join(small(asked, ID_ROWS), "doc_id", "left_semi"), "texts")
     run = _Join(texts, k)
     run.add(run.verify(pairs))
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
@@ -379,9 +382,13 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only; ids that link with nothing stay."""
+    """``docs`` with the smallest doc_id of each component only; ids that link with nothing stay.
+
+    Rows with a null id, null or empty text stay, as do all rows of a kept id. All columns pass
+    through; an empty table gives an empty result.
+    """
     found = cut(link_components(docs, k).where("doc_id <> component_id").select(F.col("doc_id")).distinct(), "copies")
-    return docs.join(small(found), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(small(found, ID_ROWS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.text import LOWER, UPPER, ascii_lower
-from tidemark.tables import table
+from tidemark.tables import cut, small, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Rows of frequent lines (two hashes, a count and an id) that may be broadcast.
+FREQUENT_ROWS = 200_000
 
 
 def _lines(text: Column) -> Column:
@@ -42,8 +44,9 @@ def drop_repeated_lines(
         keyed.select("h1", "h2", "d").distinct().groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
     )
+    # written first: so the join's sides are not dealt as the counts were, and a very common line can be split
     dropped = (
-        keyed.join(frequent, ["h1", "h2"]).where(~F.col("d").eqNullSafe(F.col("keeper")))
+        keyed.join(small(cut(frequent, "frequent"), FREQUENT_ROWS), ["h1", "h2"]).where(~F.col("d").eqNullSafe(F.col("keeper")))
         .groupBy("d", "r").agg(F.array_distinct(F.collect_list("pos")).alias("gone"))
     )
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("d0"), F.xxhash64(text).alias("r0"))
