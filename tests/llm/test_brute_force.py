@@ -64,8 +64,9 @@ def test_forward_and_counts_equal_sums_over_all_paths():
             for x, k in zip(s, z):
                 want_counts[12 + 4 * k + x] += q
     assert np.allclose(hidden_markov.forward(m, seqs), want)
-    counts, total = hidden_markov.expectations(m, seqs)
-    assert np.allclose(counts, want_counts) and math.isclose(total, sum(want))
+    for tokens in (1000, 3, 2, 1):  # in blocks of times too
+        counts, total = hidden_markov.expectations(m, seqs, tokens)
+        assert np.allclose(counts, want_counts) and math.isclose(total, sum(want))
 
 
 def test_quality_statistics_and_verdicts(spark, sf_dir, docs):
