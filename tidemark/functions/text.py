@@ -183,9 +183,9 @@ def luminance(hexed: Column) -> Column:
 
 
 def contrast(a: Column, b: Column) -> Column:
-    """The contrast ratio of two colours rrggbb, from 1 to 21."""
+    """The contrast ratio of two colours rrggbb, from 1 to 21; null if either is none."""
     x, y = luminance(a), luminance(b)
-    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+    return F.when(x.isNotNull() & y.isNotNull(), (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
 
 
 def mixed(a: Column, b: Column, share: float) -> Column:
