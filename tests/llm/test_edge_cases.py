@@ -249,3 +249,39 @@ def test_chat_odd_parts(spark):
 ])
 def test_empty_table(docs, apply):
     assert apply(docs.limit(0)).count() == 0
+
+
+def test_jaccard_of_excerpts_and_random_cuts(spark):
+    """Excerpts with smaller ids cover the buckets that two linked texts share; then random cuts and changes, against all pairs."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(6):
+        a = [f"t{g}x{i}" for i in range(84)]
+        b = [*a[:30], "q", *a[31:60], "z", *a[61:]]
+        rows += [(100 * g + i, " ".join(a[:17 * i] + a[17 * (i + 1):])) for i in range(5)] + [(100 * g + 90, " ".join(a)), (100 * g + 91, " ".join(b))]
+    for g in range(40):
+        base = [f"r{g}x{i}" for i in range(rng.choice([6, 12, 30, 36, 60, 150, 400]))]
+        for k in range(rng.randrange(2, 7)):
+            words = base[rng.randrange(len(base) // 3 + 1) : len(base) - rng.randrange(len(base) // 3 + 1)]
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"c{rng.random()}"
+            rows.append((10_000 + rng.randrange(10**6) * 10 + k, " ".join(words)))
+    rows = list({i: (i, t) for i, t in rows}.values())
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows if (w := t.split())}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, x in enumerate(ids):
+        for y in ids[n + 1 :]:
+            both = len(sets[x] & sets[y])
+            if both and 5 * both >= 4 * (len(sets[x]) + len(sets[y]) - both):
+                p, q = sorted((find(x), find(y)))
+                root[q] = p
+    found = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: find(i) for i in ids}
+    assert sum(find(i) != i for i in ids) > 12

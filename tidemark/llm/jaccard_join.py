@@ -266,6 +266,7 @@ class _Join:
     def __init__(self, texts: DataFrame, k: int):
         self.texts, self.k = texts, k
         self.links: DataFrame | None = None
+        self.groups: DataFrame | None = None
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         a = self.texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
@@ -278,7 +279,14 @@ class _Join:
         return found.count()
 
     def components(self) -> DataFrame:
-        return connected_components(self.links, "x", "y")
+        """(node, component) of all links so far: of the last result's stars and the links since."""
+        edges = self.links
+        if self.groups is not None:
+            stars = self.groups.select(F.col("node").alias("x"), F.col("component").alias("y"))
+            edges = stars if edges is None else stars.union(edges)
+        before, self.groups, self.links = self.groups, cut(connected_components(edges, "x", "y"), "groups"), None
+        discard(before)
+        return self.groups
 
 
 def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -346,7 +354,7 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     keys = cut(each.join(shared, "key", "left_semi"), "prefixes")
     n_keys = keys.count()
     while True:
-        groups = cut(run.components(), "groups")
+        groups = run.components()
         placed = keys.join(groups, keys["doc_id"] == groups["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
         counts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
         open_keys = counts.groupBy("key").agg(F.sum("m").alias("weight"), F.sum(F.col("m") * F.col("m")).alias("inner"), F.count("*").alias("cs")).where("cs > 1")
@@ -361,9 +369,8 @@ def link_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         )
         tries = left.join(lead, "key").where("c <> lc").select(F.least("doc_id", "leader").alias("x"), F.greatest("doc_id", "leader").alias("y")).distinct()
         tries = cut(tries, "tries")
-        discard(groups)
         if run.add(run.verify(tries)) < WORTH * tries.count():
-            groups = cut(run.components(), "groups")
+            groups = run.components()
             break
     sketches = cut(texts.mapInArrow(lambda it: parity_bits(it, k), "doc_id long, n long, bits array<long>"), "sketches")
     now = left.drop("c").join(groups, left["doc_id"] == groups["node"], "left").withColumn("c", F.coalesce("component", "doc_id"))
