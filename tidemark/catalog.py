@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import attributes, constraints, evidence, linking, merging, names, records, selection, stories, web
+from tidemark.plans import attributes, chronicles, constraints, evidence, linking, merging, names, records, selection, storage, stories, web
 from tidemark.streaming import first_seen
 
 FLAGSHIP = "q_pricing_summary"
-ALL = names.QUERIES | records.QUERIES | evidence.QUERIES | attributes.QUERIES | selection.QUERIES | linking.QUERIES | merging.QUERIES | stories.QUERIES | web.QUERIES | constraints.QUERIES | first_seen.QUERIES
+ALL = names.QUERIES | records.QUERIES | evidence.QUERIES | attributes.QUERIES | selection.QUERIES | linking.QUERIES | merging.QUERIES | stories.QUERIES | web.QUERIES | constraints.QUERIES | chronicles.QUERIES | storage.QUERIES | first_seen.QUERIES
 
 
 def queries() -> dict:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs a < b with their mirror images: rows are doubled after they are counted, not before."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), *rest).select("p.a", "p.b", *rest)
+
+
 def colisting(bridge: DataFrame, member: str, group: str, floor: int) -> DataFrame:
     """(a, b, shared): ordered pairs of members with at least ``floor`` groups in common."""
     pairs = bridge.select(member, group).distinct()
     a, b = pairs.select(F.col(member).alias("a"), group), pairs.select(F.col(member).alias("b"), group)
-    return a.join(b, group).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= floor)
+    return _both_ways(a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= floor))
 
 
 def peers(bridge: DataFrame, member: str, group: str) -> DataFrame:
@@ -17,4 +23,4 @@ def peers(bridge: DataFrame, member: str, group: str) -> DataFrame:
     pairs = bridge.select(member, group).distinct()
     sized = pairs.join(pairs.groupBy(group).agg(F.count("*").alias("size")), group)
     a, b = sized.select(F.col(member).alias("a"), group, "size"), pairs.select(F.col(member).alias("b"), group)
-    return a.join(b, group).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.bround(F.sum(F.lit(1.0) / F.col("size")), 9).alias("weight"))
+    return _both_ways(a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.bround(F.sum(F.lit(1.0) / F.col("size")), 9).alias("weight")))

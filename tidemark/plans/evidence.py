@@ -91,9 +91,7 @@ LISTED = 10
 
 def same_group_not_colisted(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of suppliers that share a group, but too few to be listed together."""
-    bridge = _bridge(spark, sf)
-    listed = listing.colisting(bridge, "member", "grp", LISTED).select("a", "b")
-    return listing.colisting(bridge, "member", "grp", 1).join(listed, ["a", "b"], "left_anti").select("a", "b")
+    return listing.colisting(_bridge(spark, sf), "member", "grp", 1).where(F.col("shared") < LISTED).select("a", "b")
 
 
 NOT_COLISTED = f"WITH {_BRIDGE} SELECT x.member AS a, y.member AS b FROM b x JOIN b y ON x.grp = y.grp AND x.member <> y.member GROUP BY 1, 2 HAVING count(*) < {LISTED}"

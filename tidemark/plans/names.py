@@ -32,12 +32,12 @@ def _aliases(spark: SparkSession, sf: str) -> DataFrame:
 def entity_resolve_state(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     probes = part.select("p_partkey", T.strict_key(F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" Limited"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" unknown"))).otherwise(F.col("p_name"))).alias("key"))
-    found = resolve.resolve(probes, _aliases(spark, sf).where("p_size < 20").select("key", "name"))
+    found = resolve.resolve(probes, _aliases(spark, sf).select("key", "name"))
     return found.select("p_partkey", "state", "name", "candidates", "reason")
 
 
 ENTITY_RESOLVE = f"""
-WITH a AS (SELECT regexp_replace({NORM.format(x="replace(p_name, '&', ' and ')")}, '(\\s+({LEGAL}))+$', '') AS key, p_name || '/' || p_brand AS name FROM part WHERE p_size < 20),
+WITH a AS (SELECT regexp_replace({NORM.format(x="replace(p_name, '&', ' and ')")}, '(\\s+({LEGAL}))+$', '') AS key, p_name || '/' || p_brand AS name FROM part),
 i AS (SELECT key, min(name) AS name, count(DISTINCT name) AS n FROM a WHERE key <> '' GROUP BY key),
 p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' Limited' WHEN 1 THEN p_name || ' unknown' ELSE p_name END AS x FROM part),
 k AS (SELECT p_partkey, regexp_replace({NORM.format(x="replace(x, '&', ' and ')")}, '(\\s+({LEGAL}))+$', '') AS key FROM p)
@@ -68,19 +68,30 @@ WITH r AS (SELECT lower(p_brand) AS key, p_type AS record, min(p_partkey) AS p_p
 SELECT p.p_partkey AS probe, r.key, r.p_partkey, r.record FROM part p JOIN r ON lower(p.p_brand) = r.key WHERE r.key NOT IN (SELECT key FROM s) OR p.p_type = r.record
 """
 
-TAGS = [("energy", "the", 1), ("energy", "and", 1), ("health", "of", 2), ("trade", "que", 3), ("trade", "les", 3), ("trade", "der", 3)]
+#: Labels by patterns, in order of priority; what a negation says is blanked first; a text without a label gets its class's.
+TAGS = [
+    ("licence", r"\b(licensed|license|licence|copyright|all rights reserved)\b"), ("contact", r"\b[a-z0-9._-]+@[a-z0-9-]+\.[a-z]+\b|\b(call|phone|e-?mail)\b"), ("secret", r"\b(password|api[ _-]?key|token)\b"),
+    ("release", r"\b(version|v)[ ]?[0-9]"), ("listing", r"(?m)^[ ]*([-*•]|[0-9]+[.)]) "), ("spam", r"\b(casino|free bets|cheap pills|buy now|click here)\b"),
+]
+NEGATION = r"\b(not|without|no)( [a-z]+)? (licensed|license|licence|version|password)\b"
+PRIORITY = ("spam", "secret")
 
 
 def tag_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rules = F.broadcast(spark.createDataFrame(TAGS, "label string, term string, prio int"))
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split(T.norm(F.col("text")), " "))).alias("term"))
-    return words.join(rules, "term").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.min(F.struct("prio", "label")).alias("b")).select("doc_id", "labels", F.col("b.label").alias("first_label"))
+    """Every document's labels by a vocabulary of patterns, negations blanked, its language's class as fallback, and one label to show."""
+    x = table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), NEGATION, " ").alias("t"))
+    found = x.select("doc_id", "lang", F.array_compact(F.array(*[F.when(F.col("t").rlike(pattern), F.lit(label)) for label, pattern in TAGS])).alias("found"))
+    labels = F.array_sort(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.concat(F.lit("text-"), F.coalesce("lang", F.lit("none"))))))
+    y = found.select("doc_id", labels.alias("held"))
+    first = F.coalesce(F.get(F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains("held", p)), F.lit(0)), F.array_min("held"))
+    return y.select("doc_id", F.array_join("held", ",").alias("labels"), first.alias("first_label"))
 
 
 TAG_DOCUMENTS = f"""
-WITH r(label, term, prio) AS (VALUES {', '.join(map(str, TAGS))}), w AS (SELECT DISTINCT doc_id, unnest(string_split({NORM.format(x='text')}, ' ')) AS term FROM documents),
-m AS (SELECT DISTINCT doc_id, label, prio FROM w JOIN r USING (term))
-SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, min_by(label, prio) AS first_label FROM m GROUP BY doc_id
+WITH x AS (SELECT doc_id, lang, regexp_replace(lower(coalesce(text, '')), '{NEGATION}', ' ', 'g') AS t FROM documents),
+f AS (SELECT doc_id, lang, list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{label}' END" for label, p in TAGS)}], lambda l: l IS NOT NULL) AS found FROM x),
+y AS (SELECT doc_id, list_sort(CASE WHEN len(found) > 0 THEN found ELSE ['text-' || coalesce(lang, 'none')] END) AS labels FROM f)
+SELECT doc_id, array_to_string(labels, ',') AS labels, CASE {' '.join(f"WHEN list_contains(labels, '{p}') THEN '{p}'" for p in PRIORITY)} ELSE labels[1] END AS first_label FROM y
 """
 
 

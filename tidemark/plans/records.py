@@ -62,16 +62,25 @@ def weighted_mode_label(spark: SparkSession, sf: str) -> DataFrame:
 WEIGHTED_MODE = "WITH x AS (SELECT p_brand, p_name, sum(l_quantity) AS items FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT p_brand, p_name AS label, items FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY items DESC, p_name DESC) AS n FROM x) WHERE n = 1"
 
 
+def _month():
+    """An order's month; April's orders count in May, so that April is not published."""
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    return F.when(F.month(month) == 4, F.add_months(month, 1)).otherwise(month)
+
+
+_MONTH = "(date_trunc('month', o_orderdate) + CASE WHEN month(o_orderdate) = 4 THEN INTERVAL 1 MONTH ELSE INTERVAL 0 MONTH END)::DATE"
+
+
 def _monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderpriority", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"), F.lit(1).cast("long").alias("one")).where("month(month) <> 4")
+    return table(spark, sf, "orders").select("o_orderpriority", _month().alias("month"), F.lit(1).cast("long").alias("one"))
 
 
 def dense_month_series(spark: SparkSession, sf: str) -> DataFrame:
     return series.dense_months(_monthly(spark, sf), "o_orderpriority", "month", "one")
 
 
-DENSE = """
-WITH f AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS month FROM orders WHERE month(o_orderdate) <> 4),
+DENSE = f"""
+WITH f AS (SELECT o_orderpriority, {_MONTH} AS month FROM orders),
 c AS (SELECT unnest(generate_series((SELECT min(month) FROM f), (SELECT max(month) FROM f), INTERVAL 1 MONTH))::DATE AS month)
 SELECT k.o_orderpriority, c.month, c.month IN (SELECT month FROM f) AS published, CASE WHEN c.month IN (SELECT month FROM f) THEN count(f.month) END AS total
 FROM c CROSS JOIN (SELECT DISTINCT o_orderpriority FROM f) k LEFT JOIN f ON f.month = c.month AND f.o_orderpriority = k.o_orderpriority GROUP BY 1, 2
@@ -83,8 +92,8 @@ def trend_with_floor(spark: SparkSession, sf: str) -> DataFrame:
     return series.trend(m, "o_orderpriority", "month", "n", F.lit(25))
 
 
-TREND = """
-WITH m AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders WHERE month(o_orderdate) <> 4 GROUP BY 1, 2), e AS (SELECT o_orderpriority, min_by(n, month) AS baseline, max_by(n, month) AS latest FROM m GROUP BY 1)
+TREND = f"""
+WITH m AS (SELECT o_orderpriority, {_MONTH} AS month, count(*) AS n FROM orders GROUP BY 1, 2), e AS (SELECT o_orderpriority, min_by(n, month) AS baseline, max_by(n, month) AS latest FROM m GROUP BY 1)
 SELECT *, CASE WHEN baseline >= 25 THEN round(100.0::DOUBLE * (latest - baseline) / baseline, 1) END AS change_pct FROM e
 """
 
@@ -196,10 +205,10 @@ NO_LOSS = "SELECT p_partkey, lower(p_name) AS form, CASE WHEN lower(p_name) IN (
 
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
-    return merge.carry_forward(o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice"))), o.where("o_orderkey % 8 = 0"), "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    return merge.carry_forward(o.withColumn("o_totalprice", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice"))), o, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
-CARRY = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 OR o_orderkey % 8 = 0 THEN round(o_totalprice, 2) END AS o_totalprice, o_orderkey % 8 = 0 AS carried FROM orders"
+CARRY = "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderstatus = 'F' AND o_totalprice IS NOT NULL AS carried FROM orders"
 
 
 def provenance_replace(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,10 +294,7 @@ SELECT 'nation' AS level, n_name AS label, sum(n)::BIGINT AS customers FROM c GR
 def rotation_plan(spark: SparkSession, sf: str) -> DataFrame:
     last = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
     x = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
-    n = F.count("*").over(Window.partitionBy("c_mktsegment"))
-    order = Window.partitionBy("c_mktsegment").orderBy(F.col("last").asc_nulls_first(), "c_custkey")
-    placed = x.select("c_mktsegment", "c_custkey", F.row_number().over(order).alias("place"), F.ceil(n / 28.0).alias("quota"))
-    return placed.where("place <= quota").select("c_mktsegment", "c_custkey", "place", "quota")
+    return ranking.due(x, "c_mktsegment", [F.col("last").asc_nulls_first(), F.col("c_custkey")], 28).select("c_mktsegment", "c_custkey", "place", "quota")
 
 
 ROTATION = """WITH x AS (SELECT c_custkey, c_mktsegment, (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS last FROM customer),
