@@ -19,7 +19,7 @@ TINY, BAND = 32, (DEN / NUM) ** 5
 #: Shingles in a sketch block of the largest set of a band, on average.
 LOAD = 2.9
 #: Rows of keys or shingles that a task groups at once.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: Shingles seen so often in a chunk, and in all such chunks, are common; at most COMMON of them,
 #: the most frequent, are told apart. This orders shingles and bounds a broadcast; it drops none.
 OFTEN_HERE, OFTEN, COMMON = 2, 8, 200_000
@@ -148,7 +148,7 @@ def describe_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
             sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), bool)), pa.array(ids, pa.int64()), pa.array(sizes), _signed(one), _signed(two)], names=names)
             held += sets
-            if sum(map(len, held)) >= 3 * CHUNK:
+            if sum(map(len, held)) >= 2 * CHUNK:
                 yield often(held)
                 held = []
     if held:
