@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidemark.functions import html as H, text as T
-from tidemark.operators import filters, search, sections
+from tidemark.operators import filters, lookup, search, sections
 
 
 def values(spark, expression, *texts):
@@ -70,3 +70,10 @@ def test_facets_without_choices(spark):
 def test_phrase_keeps_repeated_words():
     assert search.typed_phrase("New  new York!") == "new new york" and search.typed_phrase("ab") is None
     assert search.query_tokens("the the", ("the",)) == ["the"]
+
+
+def test_windows_without_whole_words(spark):
+    texts = spark.createDataFrame([(1, "x" * 70 + " and more words here"), (2, "some words and " + "y" * 40), (3, None)], "id int, text string")
+    wanted = spark.createDataFrame([("x" * 60,), ("me words and yyyyyyy",), ("absent words here now",)], "window string")
+    found = lookup.texts_with_windows(texts, "id", "text", wanted, 60).collect()
+    assert {(r.id, r.window[:4]) for r in found} == {(1, "xxxx"), (2, "me w")}

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.tables import small
+
 
 def get_or_create(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(key, id, created): known ids, and for keys without one an id derived from the key itself, equal in every run."""
@@ -60,6 +62,28 @@ def windows(texts: DataFrame, key: str, text: str, size: int = 60, step: int = 2
     return texts.where(F.length(text) >= size).select(key, F.explode(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))).alias("window"))
 
 
+def inner_word(window: Column) -> Column:
+    """The longest word of a window that blanks on both sides show to be whole; null without one."""
+    words = F.slice(F.split(window, r"\s"), 2, F.greatest(F.size(F.split(window, r"\s")) - 2, F.lit(0)))
+    return F.nullif(F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit(""))
+
+
+def texts_with_windows(texts: DataFrame, key: str, text: str, wanted: DataFrame, size: int) -> DataFrame:
+    """(key, window): the windows of ``wanted`` (window) that stand anywhere in a text.
+
+    Texts meet windows by the longest whole word inside the window and are then searched for
+    it. Windows without such a word, if there are any, meet texts at every place.
+    """
+    keyed = wanted.select("window", inner_word(F.col("window")).alias("w")).distinct()
+    words = texts.select(key, F.explode(F.array_distinct(F.split(text, r"\s"))).alias("w"))
+    met = words.join(small(keyed.where("w is not null"), 100_000), "w").select(key, "window").distinct()
+    found = texts.select(key, text).join(met, key).where(F.contains(F.col(text), F.col("window"))).select(key, "window").distinct()
+    rest = keyed.where("w is null").select("window")
+    if rest.isEmpty():
+        return found
+    return found.union(windows(texts, key, text, size, 1).join(small(rest, 100_000), "window", "left_semi").select(key, "window").distinct())
+
+
 def first_contained(texts: DataFrame, key: str, words: str, rules: DataFrame) -> DataFrame:
     """(key, label): of the rules (term, label, place) whose one-word term a row holds, the label of the first."""
     each = texts.select(key, F.explode(F.array_distinct(words)).alias("term"))

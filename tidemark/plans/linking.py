@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import text as T
 from tidemark.operators import lookup
 from tidemark.plans.names import NORM
-from tidemark.tables import small, table
+from tidemark.tables import table
 
 
 def created_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,10 +107,10 @@ SELECT o_orderkey, status FROM (SELECT coalesce(p.o_orderkey, r.o_orderkey) AS o
 
 
 def shingle_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items a window of whose text stands at the same step in a document's, with how many windows do; the items' windows are broadcast while they are few."""
+    """Benchmark items a window of whose text stands in a document, with how many windows do."""
     a = lookup.windows(table(spark, sf, "benchmark"), "item_id", "text").distinct()
-    b = lookup.windows(table(spark, sf, "documents"), "doc_id", "text", 60, 1)
-    return b.join(small(a, 100_000), "window").distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("windows"))
+    b = lookup.texts_with_windows(table(spark, sf, "documents"), "doc_id", "text", a.select("window"), 60)
+    return a.join(b, "window").groupBy("item_id", "doc_id").agg(F.count("*").alias("windows"))
 
 
 SHINGLES = """
