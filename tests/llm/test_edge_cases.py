@@ -47,6 +47,15 @@ def test_licenses(docs, spark):
     assert {r.doc_id: (r.license_id, r.notices) for r in license_scan.scan_licenses(own, known).collect()} == {1: ("Zlib", ""), 2: (None, "MIT")}
 
 
+def test_licenses_in_typeset_punctuation(spark):
+    known = spark.createDataFrame(license_scan.KNOWN, "license_id string, text string")
+    typeset = lambda t: t.replace('"', "\u201c").replace("'", "\u2019").replace(" - ", " \u2014 ").replace(" of ", "\u00a0of ")
+    texts = [(n, typeset(t)) for n, (_, t) in enumerate(license_scan.KNOWN)]
+    found = {r.doc_id: r.license_id for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), known).collect()}
+    assert [found[n] for n, _ in texts] == [i for i, _ in license_scan.KNOWN]
+    assert license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), known.limit(0)).where("license_id is not null").count() == 0
+
+
 def _wrapped(text: str, width: int, mark: str) -> str:
     """Paragraphs wrapped anew behind a comment mark; those that name an owner keep their lines."""
     paragraphs = [p if re.search(r"copyright (\(c\)|©|\[|[0-9])", p, re.I) else textwrap.fill(p, width) for p in re.split(r"\n[ \t]*\n", text)]

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.text import LOWER, UPPER, ascii_lower
-from tidemark.tables import table
+from tidemark.tables import small, table
 
 #: Lines that name an owner, not the terms, after comment marks if any: removed before the digest. A wrapped line of the
 #: terms may start with 'copyright notice', 'COPYRIGHT HOLDERS' or the list mark '(c)'; those stay.
@@ -20,7 +20,10 @@ OWNER_LINE = (
 )
 #: The owner lines of ORACLE: the same on the given documents, whose only owner lines are 'All rights reserved.'.
 SQL_OWNER_LINE = r"(^|\n)[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
-PUNCTUATION = r"[\x01-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII but letters and digits, blanks that do not break, angle quotes, and the dashes, quotes, points and marks of general punctuation.
+PUNCTUATION = r"[\x01-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{2027}\x{2030}-\x{205E}]+"
+#: Known texts whose digests may be broadcast.
+KNOWN_ROWS = 100_000
 #: Equivalent spellings, applied in order between word boundaries.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
@@ -120,9 +123,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     empty = F.sha2(F.lit(""), 256)
-    listed = F.broadcast(
+    listed = small(
         known.select(digest(F.col("text")).alias("known"), "license_id").where(F.col("known") != empty)
-        .groupBy("known").agg(F.min("license_id").alias("license_id"))
+        .groupBy("known").agg(F.min("license_id").alias("license_id")), KNOWN_ROWS
     )
     rows = docs.select(ident.alias(id_col), F.xxhash64(text).alias("r"), digest(text).alias("digest"))
     lines = docs.select(ident.alias("d"), F.xxhash64(text).alias("r"), F.explode(F.split(text, "\n", -1)).alias("line"))
