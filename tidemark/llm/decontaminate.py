@@ -98,7 +98,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contamination leaves."""
+    """The rows of ``docs`` that contamination leaves, with all their columns; null and empty texts stay, repeated rows share their fate. An empty table stays empty."""
     gone = small(cut(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("d"), "r").distinct(), "contaminated"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["r"]), "left_anti")
 
