@@ -15,6 +15,9 @@ MODULES = {
     "op8_license_scan": "license_scan",
     "op9_jaccard_join": "jaccard_join",
     "op10_decontaminate": "decontaminate",
+    "op11_run_index": "run_index",
+    "op12_importance": "importance",
+    "op13_periodic_runs": "periodic_runs",
 }
 
 
