@@ -13,12 +13,24 @@ PUBLISHERS, SOURCES = 2, 4
 
 
 def overlaps(items: DataFrame, group: str, key: str, tokens: str) -> DataFrame:
-    """(group, i, j): pairs i before j of a group that share max(LEAST, SHARE of the shorter's) tokens or more."""
-    each = items.select(group, key, F.size(F.array_distinct(tokens)).alias("n"), F.explode(F.array_distinct(tokens)).alias("t"))
-    a, b = each.select(group, F.col(key).alias("i"), F.col("n").alias("ni"), "t"), each.select(group, F.col(key).alias("j"), F.col("n").alias("nj"), "t")
-    shared = a.join(b, [group, "t"]).where("i < j").groupBy(group, "i", "j", "ni", "nj").agg(F.count("*").alias("shared"))
-    need = F.greatest(F.lit(LEAST), F.floor(SHARE * F.least("ni", "nj")))
-    return shared.where(F.col("shared") >= need).select(group, "i", "j")
+    """(group, i, j): pairs i before j of a group that share max(LEAST, SHARE of the shorter's) tokens or more.
+
+    Tokens are ordered by rarity within the group. Of two such items the rarest token they share is among
+    the shorter's rarest n - need + 1 and not the longer's most frequent LEAST - 1, so items meet only by these: what a group's
+    frequent words bring together is no candidate. Each pair is verified once, at that token.
+    """
+    sets = items.select(group, F.col(key).alias("k"), F.array_distinct(tokens).alias("ts")).where(F.size("ts") >= LEAST)
+    each = sets.select(group, "k", F.explode("ts").alias("t"))
+    rarity = each.groupBy(group, "t").agg(F.count("*").alias("df"))
+    ordered = each.join(rarity, [group, "t"]).groupBy(group, "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x.t).alias("ts"))
+    ordered = cut(ordered.withColumn("n", F.size("ts")), "tokens")
+    need = lambda n: F.greatest(F.lit(LEAST), F.floor(SHARE * n)).cast("int")
+    short = ordered.select(group, F.col("k").alias("a"), F.col("n").alias("na"), F.col("ts").alias("ta"), F.explode(F.slice("ts", F.lit(1), F.col("n") - need(F.col("n")) + 1)).alias("t"))
+    long = ordered.select(group, F.col("k").alias("b"), F.col("n").alias("nb"), F.col("ts").alias("tb"), F.explode(F.slice("ts", F.lit(1), F.col("n") - (LEAST - 1))).alias("t"))
+    shared = F.array_intersect("ta", "tb")
+    met = short.join(long, [group, "t"]).where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    pairs = met.where((F.get(shared, F.lit(0)) == F.col("t")) & (F.size(shared) >= need(F.col("na"))))
+    return pairs.select(group, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
 
 
 def first_fit(items: DataFrame, group: str, key: str, tokens: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.text import label_before_digit, significant_tokens
-from tidemark.operators import listing, matching, ranking, search
+from tidemark.operators import listing, matching, postings, ranking, search
 from tidemark.plans.records import _BRIDGE, _bridge
 from tidemark.tables import table
 
@@ -255,7 +255,10 @@ QUERY, STOP = "It was for the with", ("the",)
 
 
 def search_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return search.ranked(search.scored(table(spark, sf, "documents"), "doc_id", "text", QUERY, STOP), "doc_id")
+    """The first ten documents for a query, out of the session's search index."""
+    docs = table(spark, sf, "documents")
+    index = postings.once(spark, "texts", docs, postings.text_sections(docs, "doc_id", "text"))
+    return search.ranked(postings.scored(spark, index, QUERY, STOP), "id").withColumnRenamed("id", "doc_id")
 
 
 def _search_sql() -> str:
