@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -19,8 +21,28 @@ def test_entities(spark):
     assert values(spark, H.decode_entities, "a &amp;lt; &#65;&#x1F600; &#0; &#99999999; &# &pound;1", None, "x&") == ["a &lt; A😀 &#0; &#99999999; &# £1", None, "x&"]
 
 
+def removed(text: str, tag: str, word: str = "") -> str:
+    """One element after the other, by counting."""
+    out, depth = "", 0
+    for piece in re.split(rf"(?i)(?=<{tag}\b[^>]*>|</{tag}\s*>)", text):
+        opening, closing = re.match(rf"(?i)<{tag}\b[^>]*(?<!/)>", piece), re.match(rf"(?i)</{tag}\s*>", piece)
+        if depth == 0 and not (opening and (not word or re.search(rf"""class\s*=\s*["'][^"']*\b{word}""", opening[0]))):
+            out += piece
+        elif opening:
+            out, depth = out + " " * (depth == 0), depth + 1
+        elif closing:
+            depth -= 1
+            out += piece[closing.end() :] if depth == 0 else ""
+    return out
+
+
 def test_nested_elements_go(spark):
-    assert values(spark, lambda x: H.without_element(x, "div"), "a<div>b<div>c</div>d</div>e<divx>f", "a<div>open") == ["a e<divx>f", "a<div>open"]
+    deep = [f"a{'<div>b' * n}c{'</div>d' * n}e" for n in range(1, 51)]
+    assert values(spark, lambda x: H.without_element(x, "div"), *deep, "a<div>open", "a</div>b<divx>f", "<div/>a", None, "") == ["a de"] * 50 + ["a ", "a</div>b<divx>f", "<div/>a", None, ""]
+    rng = random.Random(5)
+    odd = ["".join(rng.choice(["<div>", "</div>", '<div class="x menu-top">', "<DIV class='menu'>", "t", "<div/>", "</div >", "<p>"]) for _ in range(rng.randrange(14))) for _ in range(200)]
+    assert values(spark, lambda x: H.without_element(x, "div"), *odd) == [removed(t, "div") for t in odd]
+    assert values(spark, lambda x: H.without_element(x, "div", "menu"), *odd) == [removed(t, "div", "menu") for t in odd]
 
 
 def test_clean_text(spark):
@@ -43,12 +65,15 @@ def test_jsonld(spark):
 
 
 def test_sections_of_odd_pages(spark):
-    html = '<body>A lead of more than twenty-five letters.<a id="before"></a><h2>First &amp; <b>best</b></h2>text one<h3 id="own">Second</h3><nav><ul><nav>in</nav>out</ul></nav>text two<h4></h4></body>'
-    pages = spark.createDataFrame([(1, html), (2, "<h1>too few words</h1>"), (3, "short lead <h1>Heading here</h1> and a body of words"), (4, None)], "id int, html string")
-    rows = sections.sections(pages, "id", F.col("html")).orderBy("id", "place").collect()
-    assert [(r.id, r.level, r.anchor, r.heading, r.body) for r in rows] == [
-        (1, 0, None, "", "A lead of more than twenty-five letters."), (1, 2, "before", "First & best", "text one"), (1, 3, "own", "Second", "text two"), (1, 4, None, "", ""), (3, 1, None, "Heading here", "and a body of words"),
+    html = '<body>A lead of more than twenty-five letters.<a id="before"></a><h2>First &amp; <b>best</b></h2>text one<h3 id="own">Second</h3><nav><ul><nav>in</nav>out</ul></nav>text two<h4></h4>under nothing<h2>Hi</h2>a b c<h2>No</h2>one two three four five six'
+    many = "<body>" + "".join(f"<h2></h2>x<h2>Part {n}</h2>some words" for n in range(80))
+    pages = spark.createDataFrame([(1, html), (2, "<h1>too few words</h1>"), (3, "short lead <h1>Heading here</h1> and a body of several whole words"), (4, None), (5, many)], "id int, html string")
+    rows = sections.sections(pages, "id", F.col("html"), F.lit("Title")).orderBy("id", "place").collect()
+    assert [(r.id, r.level, r.anchor, r.heading, r.body) for r in rows if r.id < 5] == [
+        (1, 0, None, "Title", "A lead of more than twenty-five letters."), (1, 2, "before", "First & best", "text one"), (1, 3, "own", "Second", "text two"), (1, 2, None, "No", "one two three four five six"),
     ]
+    assert [r.bag for r in rows if r.id == 1] == ["five lead letters twenty", "one text", "text two", "five four one six three two"] and [r.words for r in rows if r.id == 1] == [4, 2, 2, 6]
+    assert [r.heading for r in rows if r.id == 5] == [f"Part {n}" for n in range(60)]
 
 
 def test_names_and_amounts(spark):

@@ -37,11 +37,27 @@ def clean_text(x: Column) -> Column:
     return F.trim(spaced, F.lit(" \n"))
 
 
-def without_element(x: Column, tag: str, depth: int = 6) -> Column:
-    """Without any ``tag`` element, also inside one another up to ``depth`` deep: innermost ones go first; an unclosed one stays."""
-    for _ in range(depth):
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>(?:(?!<{tag}\b).)*?</{tag}\s*>", " ")
-    return x
+def without_element(x: Column, tag: str, class_word: str | None = None) -> Column:
+    """Without any ``tag`` element, or those whose class has a word that begins with ``class_word``, with all that is nested in it at any depth.
+
+    The text is split before each opening and closing tag of that name, and one pass over the pieces
+    counts how deep they stand. An element that is never closed goes to the end of the text; a closing tag
+    without an opening one stays, as does a tag that closes itself. Each element leaves a blank.
+    """
+    opens, closes, empty = rf"(?is)^<{tag}\b[^>]*>", rf"(?is)^</{tag}\s*>", rf"(?is)^<{tag}\b[^>]*/>"
+    begins = opens if class_word is None else rf"""(?is)^<{tag}\b[^>]*\bclass\s*=\s*["'][^"'>]*\b{class_word}[^>]*>"""
+    state = lambda depth, out: F.struct(depth.cast("int").alias("depth"), out.alias("out"))
+
+    def step(at: Column, piece: Column) -> Column:
+        more = lambda text: F.concat(at.out, F.array(text))
+        real = piece.rlike(opens) & ~piece.rlike(empty)
+        outside = F.when(real & piece.rlike(begins), state(F.lit(1), more(F.lit(" ")))).otherwise(state(F.lit(0), more(piece)))
+        inside = F.when(real, state(at.depth + 1, at.out)).when(~piece.rlike(closes), at)
+        inside = inside.when(at.depth > 1, state(at.depth - 1, at.out)).otherwise(state(F.lit(0), more(F.regexp_replace(piece, closes, ""))))
+        return F.when(at.depth == 0, outside).otherwise(inside)
+
+    pieces = F.split(x, rf"(?is)(?=<{tag}\b[^>]*>)|(?=</{tag}\s*>)")
+    return F.when(x.rlike(rf"(?is)<{tag}\b[^>]*>"), F.aggregate(pieces, state(F.lit(0), F.array().cast("array<string>")), step, lambda at: F.array_join(at.out, ""))).otherwise(x)
 
 
 #: Where the main part of a page may be, best first.

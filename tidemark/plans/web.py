@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import html as H
 from tidemark.operators import sections as S
+from tidemark.plans.names import NORM
 from tidemark.tables import table
 
 
@@ -24,23 +25,50 @@ def _clean(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({_decoded(plain)}, '[ \\t\\x{{a0}}\\r\\x0b\\x0c]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
+#: How deep menus within a page's main part are nested, by its id; every fourth page has a footer that is never closed.
+DEEPEST = 50
+
+
 def html_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections of the pages below /en or /fr, without one page, with another."""
+    """Sections of the pages below /en or /fr, without one page, with another; menus and empty headings are put into the pages first."""
     pages = table(spark, sf, "pages").withColumn("path", F.regexp_extract("url", r"//[^/]*(/[^?#]*)", 1))
-    found = S.sections(S.admitted(S.admitted(pages, "page_id", "path", "/", [3], []), "page_id", "path", "/en", [], [1, 2]), "page_id", F.col("html"))
-    return found.select("page_id", "place", "level", "anchor", "heading", "words", F.md5("body").alias("body_md5"))
+    deep = F.col("page_id") % DEEPEST + 1
+    menu = F.concat(F.expr(f"repeat('<nav class=\"menu\">', cast(page_id % {DEEPEST} + 1 as int))"), F.lit("A menu of links<h2>Menu</h2>"), F.repeat(F.lit("</nav>rest "), deep.cast("int")), F.lit("<h3> </h3>lost"))
+    tail = F.when(F.col("page_id") % 4 == 0, "<h2>Last</h2>of all<footer>never <nav>closed</footer><footer>").otherwise("</nav>stray")
+    html = F.replace(F.replace("html", F.lit("</h1>"), F.concat(F.lit("</h1>"), menu)), F.lit("</article>"), F.concat(tail, F.lit("</article>")))
+    title = H.clean_text(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))
+    found = S.sections(S.admitted(S.admitted(pages, "page_id", "path", "/", [3], []), "page_id", "path", "/en", [], [1, 2]), "page_id", html, title)
+    return found.select("page_id", "place", "level", "anchor", "heading", "words", F.md5("body").alias("body_md5"), F.md5("bag").alias("bag_md5"))
 
 
 _MAIN = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(h, '{p}', 1)), '')" for p in H.MAIN) + ", h)"
+
+
+def _without(source: str, tag: str, out: str) -> str:
+    """Two steps: the depth of each piece is the sum of openings and closings, raised where it would fall below zero."""
+    return f"""
+{out}_p AS (SELECT page_id, unnest(string_split(regexp_replace(c, '(?is)(<{tag}\\b[^>]*>|</{tag}\\s*>)', chr(4) || '\\1', 'g'), chr(4))) AS p, generate_subscripts(string_split(regexp_replace(c, '(?is)(<{tag}\\b[^>]*>|</{tag}\\s*>)', chr(4) || '\\1', 'g'), chr(4)), 1) AS i FROM {source}),
+{out}_d AS (SELECT *, CASE WHEN regexp_matches(p, '(?is)^<{tag}\\b[^>]*/>') THEN 0 WHEN regexp_matches(p, '(?is)^<{tag}\\b[^>]*>') THEN 1 WHEN regexp_matches(p, '(?is)^</{tag}\\s*>') THEN -1 ELSE 0 END AS d FROM {out}_p),
+{out}_s AS (SELECT *, sum(d) OVER (PARTITION BY page_id ORDER BY i) AS s FROM {out}_d),
+{out}_m AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS after FROM {out}_s),
+{out}_b AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY page_id ORDER BY i), 0) AS before FROM {out}_m),
+{out} AS (SELECT page_id, string_agg(CASE WHEN before = 0 AND after = 0 THEN p WHEN before = 0 THEN ' ' WHEN after = 0 THEN regexp_replace(p, '(?is)^</{tag}\\s*>', '') ELSE '' END, '' ORDER BY i) AS c FROM {out}_b GROUP BY page_id)"""
+
+
 HTML_SECTIONS = f"""
-WITH p AS (SELECT page_id, regexp_replace(html, '{H.NOISE}', ' ', 'g') AS h FROM pages WHERE page_id <> 3 AND (page_id IN (1, 2) OR starts_with(regexp_extract(url, '//[^/]*(/[^?#]*)', 1), '/en'))),
-m AS (SELECT page_id, regexp_replace(regexp_replace({_MAIN}, '(?is)<nav\\b[^>]*>.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g') AS c FROM p),
-s AS (SELECT page_id, string_split(regexp_replace(c, '{S.HEADING}', chr(1) || '\\1' || chr(2) || '\\2' || chr(2) || '\\3' || chr(3), 'g'), chr(1)) AS ps FROM m),
-e AS (SELECT page_id, ps, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS place FROM s),
-f AS (SELECT page_id, place::INTEGER AS place, CASE WHEN place = 0 THEN 0 ELSE split_part(x, chr(2), 1)::INTEGER END AS level, CASE WHEN place > 0 THEN nullif(regexp_extract(split_part(x, chr(2), 2), '{S.OWN_ANCHOR}', 1), '') END AS anchor,
-  CASE WHEN place = 0 THEN '' ELSE {_clean("split_part(split_part(x, chr(3), 1), chr(2), 3)")} END AS heading, {_clean("CASE WHEN place = 0 THEN x ELSE string_split(x, chr(3))[-1] END")} AS body FROM e),
-w AS (SELECT *, len(list_filter(regexp_split_to_array(heading || ' ' || body, '\\s+'), lambda t: t <> '')) AS words FROM f)
-SELECT page_id, place, level, anchor, heading, words, md5(body) AS body_md5 FROM w WHERE (place > 0 OR length(body) >= {S.LEAD_CHARS}) AND place < {S.MOST_SECTIONS} AND page_id IN (SELECT page_id FROM w GROUP BY 1 HAVING sum(words) >= {S.PAGE_WORDS})
+WITH q AS (SELECT page_id, url, {_clean("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title,
+  replace(replace(html, '</h1>', '</h1>' || repeat('<nav class="menu">', (page_id % {DEEPEST} + 1)::INT) || 'A menu of links<h2>Menu</h2>' || repeat('</nav>rest ', (page_id % {DEEPEST} + 1)::INT) || '<h3> </h3>lost'),
+    '</article>', CASE WHEN page_id % 4 = 0 THEN '<h2>Last</h2>of all<footer>never <nav>closed</footer><footer>' ELSE '</nav>stray' END || '</article>') AS html FROM pages),
+p AS (SELECT page_id, regexp_replace(html, '{H.NOISE}', ' ', 'g') AS h FROM q WHERE page_id <> 3 AND (page_id IN (1, 2) OR starts_with(regexp_extract(url, '//[^/]*(/[^?#]*)', 1), '/en'))),
+m AS (SELECT page_id, {_MAIN} AS c FROM p), {_without("m", "nav", "n")}, {_without("n", "footer", "t")},
+s AS (SELECT page_id, title, string_split(regexp_replace(c, '{S.HEADING}', chr(1) || '\\1' || chr(2) || '\\2' || chr(2) || '\\3' || chr(3), 'g'), chr(1)) AS ps FROM t JOIN q USING (page_id)),
+e AS (SELECT page_id, title, ps, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS o FROM s),
+f AS (SELECT page_id, o, CASE WHEN o = 0 THEN 0 ELSE split_part(x, chr(2), 1)::INTEGER END AS level, CASE WHEN o > 0 THEN nullif(regexp_extract(split_part(x, chr(2), 2), '{S.OWN_ANCHOR}', 1), '') END AS anchor,
+  CASE WHEN o = 0 THEN title ELSE {_clean("split_part(split_part(x, chr(3), 1), chr(2), 3)")} END[1:120] AS heading, {_clean("CASE WHEN o = 0 THEN x ELSE string_split(x, chr(3))[-1] END")} AS body FROM e),
+w AS (SELECT *, list_sort(list_distinct(list_filter(string_split({NORM.format(x='body')}, ' '), lambda w: length(w) >= 2 AND w NOT IN {S.STOP})))[1:120] AS bag FROM f WHERE CASE WHEN o = 0 THEN length(body) >= 25 ELSE heading <> '' END),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS place FROM w WHERE length(heading) >= 3 OR len(bag) >= 5)
+SELECT page_id, place::INTEGER AS place, level, anchor, heading, len(bag) AS words, md5(body) AS body_md5, md5(array_to_string(bag, ' ')) AS bag_md5 FROM k
+WHERE place < 60 AND page_id IN (SELECT page_id FROM k WHERE place < 60 GROUP BY 1 HAVING sum(len(bag)) >= 5)
 """
 
 
