@@ -24,7 +24,7 @@ PLACE = np.uint64((1 << 21) - 1)
 #: Bytes of pieces in an index; an anchor's pieces are never parted.
 BLOCK = 1_000_000
 #: An anchor with more different pieces is cut anew by whole windows.
-MOST = 2_000
+MOST = 500
 #: One in so many of all pieces makes a class heavy: there are at most so many, and they are broadcast.
 HEAVY = 10_000
 U = np.uint64
