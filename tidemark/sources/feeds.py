@@ -57,8 +57,8 @@ def tagged_facts(documents: DataFrame, key: str, html: str, names: list[str], cu
     """(key, name, start, end, unit, value) of the tagged figures of iXBRL documents.
 
     Taken are names of ``names`` (whatever their prefix) in contexts with dates and without
-    segments; money in ``currency`` only. scale and sign apply; a value is null where the text
-    is no number. A head count with a fraction was scaled by mistake and is multiplied back.
+    segments; money in ``currency`` only. scale and sign apply; a fact whose text is no number, such as a dash,
+    is left out. A head count with a fraction was scaled by mistake and is multiplied back.
     """
     attribute = lambda x, name: F.regexp_extract(x, _ATTRIBUTE.format(name), 1)
     tag = lambda x, name: F.regexp_extract(x, rf"(?is)<(?:[a-z]+:)?{name}[^>]*>\s*([^<]*?)\s*</", 1)
@@ -69,12 +69,12 @@ def tagged_facts(documents: DataFrame, key: str, html: str, names: list[str], cu
     units = documents.select(key, every(r"(?is)<xbrli:unit\b.*?</xbrli:unit>").alias("x")).select(key, attribute(F.col("x"), "id").alias("u"), F.regexp_extract(tag(F.col("x"), "measure"), "([^:]*)$", 1).alias("unit"))
     x = F.col("x")
     text = F.regexp_replace(clean_text(x), "[ ,]", "")
-    number = F.when(text == "-", F.lit(0)).otherwise(text.try_cast("decimal(28,4)"))
+    number = text.try_cast("decimal(28,4)")  # a dash is a figure not disclosed, no zero
     facts = documents.select(key, every(r"(?is)<ix:nonFraction\b.*?</ix:nonFraction>").alias("x")).select(
         key, F.regexp_extract(attribute(x, "name"), "([^:]*)$", 1).alias("name"), attribute(x, "contextRef").alias("context"), attribute(x, "unitRef").alias("u"),
         (number * F.pow(F.lit(10.0), F.coalesce(attribute(x, "scale").try_cast("int"), F.lit(0))) * F.when(attribute(x, "sign") == "-", -1).otherwise(1)).alias("value"),
     )
-    chosen = facts.where(F.col("name").isin(names)).join(contexts, [key, "context"]).join(units, [key, "u"], "left")
+    chosen = facts.where(F.col("name").isin(names) & F.col("value").isNotNull()).join(contexts, [key, "context"]).join(units, [key, "u"], "left")
     chosen = chosen.where(F.col("unit").isNull() | ~F.col("unit").rlike("^[A-Z]{3}$") | (F.col("unit") == currency))
     heads = F.col("name").contains("Employees") & (F.col("value") > 0) & (F.col("value") != F.floor("value"))
     return chosen.select(key, "name", "start", "end", "unit", F.when(heads, F.round(F.col("value") * 1000)).otherwise(F.col("value")).alias("value"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.tables import shared_dir, table
+from tidemark.tables import scratch, table
 
 
 def first_seen(stream: DataFrame, keys: list[str], ts: str, path: str) -> DataFrame:
     """(keys, first_seen, last_seen, n) over all that ever arrived, after what is available now.
 
-    ``path`` holds the checkpoint and a table for each batch; a batch that is run again after a
-    failure overwrites its own table. State is one row for each key. Without any input the
-    result is empty.
+    ``path`` holds the checkpoint and a table for each batch with the keys that it changed; a batch
+    that is run again after a failure overwrites its own table. State is one row for each
+    key, of which a batch writes those it changed. Without any input the result is empty.
     """
     spark = stream.sparkSession
     fold = stream.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("n"))
@@ -23,11 +21,10 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, path: str) -> DataFr
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    query = fold.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = fold.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.parquet(f"{path}/out")
-    latest = found.agg(F.max("batch")).first()[0] if not found.isEmpty() else -1
-    return found.where(F.col("batch") == latest).drop("batch")
+    return found.groupBy(*keys).agg(F.max(F.struct("batch", "first_seen", "last_seen", "n")).alias("b")).select(*keys, "b.first_seen", "b.last_seen", "b.n")
 
 
 def append_new(stream: DataFrame, key: str, path: str, ts: str | None = None, delay: str = "7 days") -> DataFrame:
@@ -51,7 +48,7 @@ def streaming_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     # as a pattern: a stream takes a plain path for a folder, and the table may be one file
     stream = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/events.parque[t]")
-    return first_seen(stream, ["user_id", "event_type"], "ts", f"{shared_dir(spark)}/first-seen-{uuid.uuid4().hex}")
+    return first_seen(stream, ["user_id", "event_type"], "ts", scratch(spark, "first-seen"))
 
 
 STREAMING = "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1, 2"
