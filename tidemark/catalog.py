@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import attributes, chronicles, constraints, dictionaries, evidence, ingest, linking, merging, names, notices, records, selection, storage, stories, web
+from tidemark.plans import attributes, chronicles, constraints, dictionaries, evidence, gates, ingest, linking, merging, names, notices, records, selection, storage, stories, web
 from tidemark.streaming import first_seen
 
 FLAGSHIP = "q_pricing_summary"
-ALL = names.QUERIES | records.QUERIES | evidence.QUERIES | attributes.QUERIES | selection.QUERIES | linking.QUERIES | merging.QUERIES | stories.QUERIES | web.QUERIES | constraints.QUERIES | chronicles.QUERIES | notices.QUERIES | dictionaries.QUERIES | ingest.QUERIES | storage.QUERIES | first_seen.QUERIES
+ALL = names.QUERIES | records.QUERIES | evidence.QUERIES | attributes.QUERIES | selection.QUERIES | linking.QUERIES | merging.QUERIES | stories.QUERIES | web.QUERIES | constraints.QUERIES | chronicles.QUERIES | notices.QUERIES | dictionaries.QUERIES | ingest.QUERIES | gates.QUERIES | storage.QUERIES | first_seen.QUERIES
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.tables import cut
@@ -35,40 +35,40 @@ class _Automata:
         return cls.made[name]
 
 
-def contained(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
-    """(key, term): the distinct terms that stand anywhere in each text, as plain substrings.
+def with_terms(rows: DataFrame, text: str, terms: DataFrame, term: str = "term", found: str = "found") -> DataFrame:
+    """The rows with ``found``, the distinct terms that stand anywhere in ``text`` as plain substrings, in no order.
 
     An Aho-Corasick automaton of all terms reads each text once, in the task that holds it; nothing is
-    shuffled. The terms' size is checked: beyond CHARS they are dealt by their hash to several automata, a pass for each. Null texts
-    hold nothing; null and empty terms are in no text. Rows that repeat a key are texts of their own.
+    shuffled. The terms' size is checked: beyond CHARS they are dealt by their hash to several automata, and rows come once for each. Null texts
+    hold nothing; null and empty terms are in no text.
     """
     vocabulary = terms.select(F.col(term).alias("t")).where(F.length("t") > 0).distinct()
-    spark, size = texts.sparkSession, vocabulary.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    spark, size = rows.sparkSession, vocabulary.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     parts = 1 + size // CHARS
-    schema = StructType([StructField(key, texts.schema[key].dataType), StructField(term, terms.schema[term].dataType)])
-    arrow = to_arrow_schema(schema)
+    schema = StructType([*rows.schema.fields, StructField(found, ArrayType(terms.schema[term].dataType))])
+    arrow, place = to_arrow_schema(schema), rows.columns.index(text)
 
     def one(part: int) -> DataFrame:
         own = vocabulary.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == part) if parts > 1 else vocabulary
         shared, made = spark.sparkContext.broadcast([r.t for r in own.collect()]), uuid.uuid4().hex  # CHARS characters, as counted
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not shared.value:
-                return
-            automaton, names = _Automata.of(made, shared.value), shared.value
+            automaton, names = (_Automata.of(made, shared.value), shared.value) if shared.value else (None, [])
             for batch in batches:
-                rows, found = [], []
-                for i, x in enumerate(batch.column(1)):
-                    hits = {v for _, v in automaton.iter(x.as_py())} if x.is_valid else ()
-                    rows.extend([i] * len(hits))
-                    found.extend(names[v] for v in hits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())).cast(arrow[0].type), pa.array(found, arrow[1].type)], schema=arrow)
+                lists = [[names[v] for v in {v for _, v in automaton.iter(x.as_py())}] if automaton is not None and x.is_valid else [] for x in batch.column(place)]
+                columns = [*batch.columns, pa.array(lists, arrow.field(found).type)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        return texts.select(key, text).mapInArrow(scan, schema)
+        return rows.mapInArrow(scan, schema)
 
     return reduce(DataFrame.union, [one(p) for p in range(parts)])
 
 
+def contained(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+    """(key, term): a row for each distinct term that a text holds, by ``with_terms``. Rows that repeat a key are texts of their own."""
+    return with_terms(texts.select(key, F.col(text).alias("_text")), "_text", terms, term, "_found").select(key, F.explode("_found").alias(term))
+
+
 def first_rule(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """(key, n_terms, term, label): how many terms of the rules (term, label, place) a text holds, and the first by place.
 

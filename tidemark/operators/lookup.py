@@ -87,12 +87,12 @@ def texts_with_windows(texts: DataFrame, key: str, text: str, wanted: DataFrame,
 def first_contained(texts: DataFrame, key: str, words: str, rules: DataFrame) -> DataFrame:
     """(key, label): of the rules (term, label, place) whose one-word term a row holds, the label of the first."""
     each = texts.select(key, F.explode(F.array_distinct(words)).alias("term"))
-    return each.join(F.broadcast(rules), "term").groupBy(key).agg(F.min(F.struct("place", "label"))["label"].alias("label"))
+    return each.join(small(rules), "term").groupBy(key).agg(F.min(F.struct("place", "label"))["label"].alias("label"))
 
 
 def expanded(roles: DataFrame, base: DataFrame, extras: DataFrame, key: str, item: str) -> DataFrame:
     """(key, items): every role's items, the base set first, then its own extras in order; repeated ones once."""
-    common = roles.select(key).crossJoin(F.broadcast(base.select(item, F.lit(0).alias("part"), "place")))  # each role gets the base set: the result's own rows
+    common = roles.select(key).crossJoin(small(base.select(item, F.lit(0).alias("part"), "place"), 10_000))  # each role gets the base set: the result's own rows
     own = extras.select(key, item, F.lit(1).alias("part"), "place")
     first = common.union(own.select(key, item, "part", "place")).groupBy(key, item).agg(F.min(F.struct("part", "place")).alias("at"))
     return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.col(item).alias("i")))), lambda x: x["i"]).alias("items"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import ranking, resolve
+from tidemark.operators import ranking, resolve, tagging
 from tidemark.tables import table
 
 NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
@@ -68,30 +68,44 @@ WITH r AS (SELECT lower(p_brand) AS key, p_type AS record, min(p_partkey) AS p_p
 SELECT p.p_partkey AS probe, r.key, r.p_partkey, r.record FROM part p JOIN r ON lower(p.p_brand) = r.key WHERE r.key NOT IN (SELECT key FROM s) OR p.p_type = r.record
 """
 
-#: Labels by patterns, in order of priority; what a negation says is blanked first; a text without a label gets its class's.
-TAGS = [
-    ("licence", r"\b(licensed|license|licence|copyright|all rights reserved)\b"), ("contact", r"\b[a-z0-9._-]+@[a-z0-9-]+\.[a-z]+\b|\b(call|phone|e-?mail)\b"), ("secret", r"\b(password|api[ _-]?key|token)\b"),
-    ("release", r"\b(version|v)[ ]?[0-9]"), ("listing", r"(?m)^[ ]*([-*•]|[0-9]+[.)]) "), ("spam", r"\b(casino|free bets|cheap pills|buy now|click here)\b"),
+#: Rules as rows: label, required literal, pattern, negation and priority; a text without a label gets its class's.
+_NOT = r"(^|[^a-z])(not|without|no)( [a-z]+)? (licensed|license|licence|version|password)([^a-z]|$)"
+RULES = [
+    *[("licence", w, rf"(^|[^a-z]){w}([^a-z]|$)", _NOT, 5) for w in ("licensed", "license", "licence", "copyright", "all rights reserved")],
+    ("contact", "@", r"[a-z0-9._-]+@[a-z0-9-]+[.][a-z]+", None, 4), *[("contact", w, rf"(^|[^a-z]){w}([^a-z]|$)", None, 4) for w in ("call", "phone", "email", "e-mail")],
+    *[("secret", w, rf"(^|[^a-z]){w}([^a-z]|$)", _NOT, 2) for w in ("password", "api key", "api_key", "apikey", "token")],
+    ("release", "version", r"(^|[^a-z])version ?[0-9]", _NOT, 3), *[("listing", m, p, None, 6) for m, p in (("- ", r"(^|\n) *- "), ("* ", r"(^|\n) *[*] "), ("• ", r"(^|\n) *• "), (". ", r"(^|\n) *[0-9]+[.] "), (") ", r"(^|\n) *[0-9]+[)] "))],
+    *[("spam", w, rf"(^|[^a-z]){w}([^a-z]|$)", None, 1) for w in ("casino", "free bets", "cheap pills", "buy now", "click here")],
 ]
-NEGATION = r"\b(not|without|no)( [a-z]+)? (licensed|license|licence|version|password)\b"
-PRIORITY = ("spam", "secret")
+#: Letters of a benchmark word that becomes a rule, and topics that such words are dealt to.
+TOPIC_WORD, TOPICS = 7, 24
 
 
 def tag_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's labels by a vocabulary of patterns, negations blanked, its language's class as fallback, and one label to show."""
-    x = table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), NEGATION, " ").alias("t"))
-    found = x.select("doc_id", "lang", F.array_compact(F.array(*[F.when(F.col("t").rlike(pattern), F.lit(label)) for label, pattern in TAGS])).alias("found"))
-    labels = F.array_sort(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.concat(F.lit("text-"), F.coalesce("lang", F.lit("none"))))))
-    y = found.select("doc_id", labels.alias("held"))
-    first = F.coalesce(F.get(F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains("held", p)), F.lit(0)), F.array_min("held"))
-    return y.select("doc_id", F.array_join("held", ",").alias("labels"), first.alias("first_label"))
+    """Every document's labels by a table of some hundred rules: fixed ones, the parts' names, and the benchmark's longer words, unless denied."""
+    fixed = spark.createDataFrame(RULES, "label string, literal string, pattern string, negation string, priority int")
+    around = lambda w, more="": F.concat(F.lit("(^|[^a-z])"), w, F.lit(f"{more}([^a-z]|$)"))
+    part = table(spark, sf, "part").select(F.lower("p_name").alias("w")).distinct().select(F.lit("product").alias("label"), F.col("w").alias("literal"), around(F.col("w"), "s?").alias("pattern"), F.lit(None).cast("string").alias("negation"), F.lit(7).alias("priority"))
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") >= TOPIC_WORD).distinct()
+    topic = F.concat(F.lit("topic "), (F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int") % TOPICS).cast("string"))
+    topics = words.select(topic.alias("label"), F.col("w").alias("literal"), around(F.col("w")).alias("pattern"), F.concat(F.lit("(^|[^a-z])(the|no) "), "w").alias("negation"), F.lit(8).alias("priority"))
+    x = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"), F.concat(F.lit("text-"), F.coalesce("lang", F.lit("none"))).alias("class"))
+    return tagging.tagged(x, "doc_id", "t", fixed.union(part).union(topics), "class").select("doc_id", F.array_join("labels", ",").alias("labels"), "first_label", "hits")
+
+
+def _rule(r: tuple) -> str:
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return f"({', '.join(map(text, r[:4]))}, {r[4]})".replace("\\n", "' || chr(10) || '")
 
 
 TAG_DOCUMENTS = f"""
-WITH x AS (SELECT doc_id, lang, regexp_replace(lower(coalesce(text, '')), '{NEGATION}', ' ', 'g') AS t FROM documents),
-f AS (SELECT doc_id, lang, list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{label}' END" for label, p in TAGS)}], lambda l: l IS NOT NULL) AS found FROM x),
-y AS (SELECT doc_id, list_sort(CASE WHEN len(found) > 0 THEN found ELSE ['text-' || coalesce(lang, 'none')] END) AS labels FROM f)
-SELECT doc_id, array_to_string(labels, ',') AS labels, CASE {' '.join(f"WHEN list_contains(labels, '{p}') THEN '{p}'" for p in PRIORITY)} ELSE labels[1] END AS first_label FROM y
+WITH r(label, literal, pattern, negation, priority) AS (SELECT * FROM (VALUES {', '.join(map(_rule, RULES))})
+  UNION ALL SELECT DISTINCT 'product', lower(p_name), '(^|[^a-z])' || lower(p_name) || 's?([^a-z]|$)', NULL, 7 FROM part
+  UNION ALL SELECT 'topic ' || (('0x' || md5(w)[1:4])::INT % {TOPICS}), w, '(^|[^a-z])' || w || '([^a-z]|$)', '(^|[^a-z])(the|no) ' || w, 8 FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= {TOPIC_WORD}),
+x AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS t FROM documents), m AS (SELECT doc_id, t, r.* FROM x JOIN r ON contains(t, literal)),
+h AS (SELECT doc_id, label, priority FROM m WHERE regexp_matches(CASE WHEN negation IS NULL THEN t ELSE regexp_replace(t, negation, ' ', 'g') END, pattern)),
+l AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, first(label ORDER BY priority, label) AS first_label, count(*) AS hits FROM h GROUP BY doc_id)
+SELECT doc_id, coalesce(labels, 'text-' || coalesce(lang, 'none')) AS labels, coalesce(first_label, 'text-' || coalesce(lang, 'none')) AS first_label, coalesce(hits, 0) AS hits FROM x LEFT JOIN l USING (doc_id)
 """
 
 
