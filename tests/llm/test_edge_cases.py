@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import textwrap
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,27 @@ def test_wrapped_licenses(spark):
     assert [(i, found[n]) for n, (i, _) in enumerate(forms) if found[n] != i] == []
 
 
+def test_entire_licenses_in_ordinary_forms_equal_plain_python_and_sql(spark):
+    """Titles, owner lists over lines, portions and named holders: Spark, SQL and plain Python state one rule, and find the text."""
+    mit, bsd = license_scan.MIT, next(t for i, t in license_scan.KNOWN if i == "BSD-3-Clause")
+    known = spark.createDataFrame(license_scan.KNOWN, "license_id string, text string")
+    named = re.sub(r"(?i)neither the name of the\s+copyright holder", "Neither the name of Acme & Sons, Inc.", bsd)
+    assert named != bsd
+    forms = [
+        ("MIT", "The MIT License\n\n" + mit), ("MIT", "(The MIT License)\n\nCopyright (c) 2011 A\n\n" + mit), ("MIT", "Copyright (c) 2019 Ann Lee,\nBob Roe and\nCy Poe\n\n" + mit), ("MIT", "Portions copyright (c) 2020 X\n" + mit),
+        ("MIT", "# The MIT License (MIT)\r\n#\r\n# Copyright 2020 Z\r\n# All rights reserved.\r\n# All rights reserved.\r\n" + mit), ("BSD-3-Clause", named), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2017, X\nAll rights reserved.\n\n" + named),
+        ("BSD-3-Clause", bsd.replace("copyright holder ", "copyright owner ")), ("BSL-1.0", next(t for i, t in license_scan.KNOWN if i == "BSL-1.0").partition("\n\n")[2]), (None, mit + "\nand more"), (None, "The MIT License\n"), (None, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(forms)], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan_licenses(docs, known).collect()}
+    assert [found[n].license_id for n in range(len(forms))] == [i for i, _ in forms]
+    assert [found[n].digest for n in range(len(forms))] == [hashlib.sha256(license_scan.canonical_plain(t or "").encode()).hexdigest() for _, t in forms]
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    rows = con.execute(license_scan.ORACLE).fetchall()
+    assert {r[0]: r[1:3] for r in rows} == {i: (r.digest, r.license_id) for i, r in found.items()}
+
+
 def test_scores(docs):
     rows = lm_score.score_texts(docs, rounds=1).collect()
     assert len(rows) == len(ROWS) and all(r.score <= 0 and r.n_tokens >= 1 for r in rows)

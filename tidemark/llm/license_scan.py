@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pkgutil
 import re
 
@@ -10,16 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.llm.text import LOWER, UPPER, ascii_lower
 from tidemark.tables import small, table
 
-#: Lines that name an owner, not the terms, after comment marks if any: removed before the digest. A wrapped line of the
-#: terms may start with 'copyright notice', 'COPYRIGHT HOLDERS' or the list mark '(c)'; those stay.
-OWNER_LINE = (
-    r"(?i)(^|\n)[ \t#/*;%!<>|\"'.-]*("
-    r"copyright[ \t:,]*(\(c\)|©|&copy;|[0-9]|[\[<{]|by\b)"
-    r"|(?-i:Copyright[ \t:,]+(the[ \t]+)?(?!(License|Licence|Notice|Holder|Owner|Statement|Law|Act|Interest|And|Or|In)s?\b)[A-Z])"
-    r"|\(c\)[ \t]*(copyright\b|[0-9]|by\b)|©|all rights reserved[ \t.*/#-]*(?=[\r\n]|$))[^\n]*"
-)
-#: The owner lines of ORACLE: the same on the given documents, whose only owner lines are 'All rights reserved.'.
-SQL_OWNER_LINE = r"(^|\n)[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*"
+#: The canonical form in steps of (pattern, replacement), in order, without look-around, so that Spark and SQL state one rule.
+#: A line of the terms may begin with 'Copyright Notice' or 'Copyright Holders': a small letter tells it from an owner's name.
+#: Then lines that name an owner go, after comment marks if any, with the lines after them while one ends with a comma, 'and' or '&';
+#: lines of 'all rights reserved' alone (twice, as two may follow each other); and a short first paragraph whose first two lines name a licence.
+_MARKS = r"[ \t#/*;%!<>|\"'.-]*"
+_BLANK, _FILLED = r"[^A-Za-z0-9\n]*\n", r"[^A-Za-z0-9\n]{0,60}[A-Za-z0-9][^\n]{0,90}\n"
+OWNERS = [
+    (r"\bCopyright([ \t:,]+(the[ \t]+)?(License|Licence|Notice|Holder|Owner|Statement|Law|Act|Interest|And|Or|In)s?\b)", "copyright$1"),
+    (
+        rf"(?i)(^|\n){_MARKS}((portions|parts)[ \t]+(of[ \t]+this[ \t]+\w+[ \t]+)?(are[ \t]+)?)?("
+        r"copyright[ \t:,]*(\(c\)|©|&copy;|[0-9]|[\[<{]|by\b)|(?-i:Copyright[ \t:,]+(the[ \t]+)?[A-Z])|\(c\)[ \t]*(copyright\b|[0-9]|by\b)|©)"
+        r"([^\n]*(,|\band|&)[ \t\r]*\n)*[^\n]*", "$1",
+    ),
+    *[(rf"(?i)(^|\n){_MARKS}all rights reserved[ \t.*/#-]*\r?(\n|\z)", "$1$2")] * 2,
+    (rf"(?i)^({_BLANK})*({_FILLED}){{0,1}}?[^\n]{{0,60}}\blicen[cs]e\b[^\n]{{0,60}}\n({_FILLED}){{0,4}}?{_BLANK}", ""),
+]
+#: What a text may name in place of the holder, within one spelling.
+HOLDER = (r"\bneither the names? of .{1,200}? nor the names? of (its|the|their|any) contributors?\b", "neither the name of holder nor the names of its contributors")
 #: ASCII but letters and digits, blanks that do not break, angle quotes, and the dashes, quotes, points and marks of general punctuation.
 PUNCTUATION = r"[\x01-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{2027}\x{2030}-\x{205E}]+"
 #: Known texts whose digests may be broadcast.
@@ -28,7 +37,9 @@ KNOWN_ROWS = 100_000
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
     ("organisation", "organization"), ("favour", "favor"), ("authorised", "authorized"), ("non infringement", "noninfringement"),
-    ("https", "http"), ("v2", "version 2"), ("v3", "version 3"),
+    ("https", "http"), ("v2", "version 2"), ("v3", "version 3"), ("behaviour", "behavior"), ("honour", "honor"), ("recognised", "recognized"), ("utilisation", "utilization"),
+    ("judgement", "judgment"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("wilful", "willful"),
+    ("regents and contributors", "copyright holders and contributors"), ("author and contributors", "copyright holders and contributors"), ("authors and contributors", "copyright holders and contributors"),
 ]
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -45,7 +56,7 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-#: Public licence texts and one-line notices that ORACLE lists too (licence id, entire text).
+#: Public licence texts and one-line notices (licence id, entire text).
 NOTICED = [
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
@@ -62,7 +73,7 @@ NOTICED = [
 ENTIRE = {
     "Apache-2.0": [], "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
     "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'], "CC0-1.0": [], "GPL-1.0": [],
-    "GPL-2.0": [], "GPL-3.0": [], "LGPL-2.0": [], "LGPL-2.1": [], "LGPL-3.0": [], "MPL-1.1": [], "MPL-2.0": [], "Unlicense": [],
+    "GPL-2.0": [], "GPL-3.0": [], "LGPL-2.0": [], "LGPL-2.1": [], "LGPL-3.0": [], "MPL-1.1": [], "MPL-2.0": [], "Unlicense": [], "Artistic-1.0": [], "BSL-1.0": [], "GFDL-1.2": [], "GFDL-1.3": [],
 }
 TERMS_END = "END OF TERMS AND CONDITIONS"
 
@@ -95,13 +106,16 @@ def _spelled(plain: Column) -> Column:
     replaced = plain
     for old, new in SPELLINGS:
         replaced = F.regexp_replace(replaced, rf"\b{old}\b", new)
-    return F.when(plain.rlike(rf"\b({'|'.join(old for old, _ in SPELLINGS)})\b"), replaced).otherwise(plain)
+    one = F.when(plain.rlike(rf"\b({'|'.join(old for old, _ in SPELLINGS)})\b"), replaced).otherwise(plain)
+    return F.when(plain.contains("neither the name"), F.regexp_replace(one, *HOLDER)).otherwise(one)
 
 
 def canonical(text: Column) -> Column:
-    """Lower-cased text without owner lines and punctuation, in one spelling, single-spaced."""
-    plain = ascii_lower(F.regexp_replace(F.coalesce(text, F.lit("")), OWNER_LINE, "$1"))
-    plain = F.regexp_replace(plain, PUNCTUATION, " ")
+    """Lower-cased text without owner lines, title and punctuation, in one spelling, single-spaced, any holder's name as one word."""
+    plain = F.coalesce(text, F.lit(""))
+    for pattern, replacement in OWNERS:
+        plain = F.regexp_replace(plain, pattern, replacement)
+    plain = F.regexp_replace(ascii_lower(plain), PUNCTUATION, " ")
     return F.trim(F.get(F.transform(F.array(plain), _spelled), F.lit(0)))
 
 
@@ -146,20 +160,36 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), known)
 
 
+def canonical_plain(text: str) -> str:
+    """The same steps in plain Python, for ORACLE's digests and the tests."""
+    for pattern, replacement in OWNERS:
+        text = re.sub(pattern.replace(r"\z", r"\Z"), lambda m, r=replacement: re.sub(r"\$(\d)", lambda n: m[int(n[1])] or "", r), text)
+    text = re.sub(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), PUNCTUATION), " ", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+    for old, new in SPELLINGS:
+        text = re.sub(rf"\b{old}\b", new, text)
+    return re.sub(*HOLDER, text).strip(" ")
+
+
 def _canonical_sql(x: str) -> str:
-    out = f"regexp_replace(regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{SQL_OWNER_LINE}', '\\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
+    quoted = lambda t: t.replace("'", "''")
+    out = f"coalesce({x}, '')"
+    for pattern, replacement in OWNERS:
+        out = f"regexp_replace({out}, '{quoted(pattern)}', '{replacement.replace('$', chr(92))}', 'g')"
+    out = f"regexp_replace(translate({out}, '{UPPER}', '{LOWER}'), '{PUNCTUATION}', ' ', 'g')"
     for old, new in SPELLINGS:
         out = f"regexp_replace({out}, '\\b{old}\\b', '{new}', 'g')"
-    return f"trim({out})"
+    return f"trim(regexp_replace({out}, '{HOLDER[0]}', '{HOLDER[1]}', 'g'))"
 
 
-def _values() -> str:
-    return ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in NOTICED)
+def _digests() -> str:
+    found = {}
+    for name, text in KNOWN:
+        found.setdefault(hashlib.sha256(canonical_plain(text).encode()).hexdigest(), set()).add(name)
+    return ", ".join(f"('{d}', '{min(names)}')" for d, names in found.items())
 
 
 ORACLE = f"""
-WITH k(license_id, text) AS (VALUES {_values()}),
-known AS (SELECT sha256({_canonical_sql('text')}) AS dg, min(license_id) AS license_id FROM k GROUP BY 1),
+WITH known(dg, license_id) AS (VALUES {_digests()}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 m AS (SELECT DISTINCT l.r, k.license_id FROM l JOIN known k ON sha256({_canonical_sql('l.line')}) = k.dg),
