@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import hidden_markov, jaccard_join, mixing, quality_rules, registry, token_files
+from tidemark.llm import hidden_markov, jaccard_join, lm_score, mixing, quality_rules, registry, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,6 +69,45 @@ def test_forward_and_counts_equal_sums_over_all_paths():
         assert np.allclose(counts, want_counts) and math.isclose(total, sum(want))
 
 
+def test_scores_equal_sums_over_all_words_and_states(spark, monkeypatch):
+    """Symbols, classes and words beyond the broadcast table, against plain sums, under a model that is not trained."""
+    monkeypatch.setattr(lm_score, "SYMBOL_WORDS", 5)
+    monkeypatch.setattr(lm_score, "TABLE_WORDS", 12)
+    model = None
+
+    def untrained(encoded, unigram, rounds):
+        nonlocal model
+        model = hidden_markov.random_model(3, unigram)
+        return model
+
+    monkeypatch.setattr(lm_score, "train", untrained)
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{'ABab'[i % 4]}w{i}é" for i in range(40)]
+    rows = [(i, " ".join(vocabulary[int(k) % 40] for k in rng.pareto(0.7, int(rng.integers(0, 30))) * 3)) for i in range(60)] + [(None, "aw2é bw3é"), (61, None), (62, "never seen before " * 3)]
+    found = lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = [[w.encode() for w in WORD.findall(lower(t))] + [b""] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    c = Counter(w for x, h in zip(words, held, strict=True) if not h for w in x)
+    frequent = [b"", *sorted((w for w in c if w), key=lambda w: (-c[w], w))]
+    symbols = frequent[:5]
+    of = lambda w: symbols.index(w) if w in symbols else 5 + zlib.crc32(w[-3:]) % lm_score.CLASSES
+    size, kinds = Counter(), Counter()
+    for w, n in c.items():
+        if w not in symbols:
+            size[of(w)] += n
+            kinds[of(w)] += 1
+    want = []
+    for (i, _), x in zip(rows, words, strict=True):
+        at = np.array(model.start, float)
+        for n, w in enumerate(x):
+            at = (at if n == 0 else at @ model.move) * model.emit[of(w)]
+        score = math.log10(at.sum()) + sum(math.log10((c[w] + 0.5) / (size[of(w)] + 0.5 * (kinds[of(w)] + 1))) for w in x if w not in symbols)
+        want.append((str(i), sum(c[w] > 0 for w in x), score))
+    got = sorted((str(r.doc_id), r.n_known, r.score) for r in found)
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], rtol=1e-9)
+    assert len(c) > 20 and any(w not in frequent[:12] for x in words for w in x)
+
+
 def test_quality_statistics_and_verdicts(spark, sf_dir, docs):
     found = run(spark, sf_dir, "op5_quality_rules")
     kept = 0
@@ -218,6 +257,65 @@ def test_robust_estimates_equal_a_search_over_subsets(spark):
         assert beyond[600:].all() and not beyond[: min(600, len(own))].any()
 
 
+def squares(x: np.ndarray, mu: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances and the determinant's logarithm by a factor whose diagonal is 1 at least, as few documents may give no full rank."""
+    low = np.zeros((4, 4))
+    for j in range(4):
+        low[j, j] = math.sqrt(max(v[j, j] - low[j] @ low[j], 1.0))
+        for i in range(j + 1, 4):
+            low[i, j] = (v[i, j] - low[i] @ low[j]) / low[j, j]
+    return (np.linalg.solve(low, (x - mu).T) ** 2).sum(0), 2 * float(np.log(np.diag(low)).sum())
+
+
+def concentrated(x: np.ndarray, floors: np.ndarray, q) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate as its docstring has it, in matrices: three starts, steps with the last bin in part, the least determinant."""
+    lo, mid, hi = (np.quantile(x, p, axis=0) for p in (0.25, 0.5, 0.75))
+    floored = lambda v: v + np.diag(np.maximum(floors**2 - np.diag(v), 0))
+    starts = [(mid, np.diag(floors**2)), (mid, np.diag(np.maximum(0.7413 * (hi - lo), floors) ** 2)), (x.mean(0), floored(np.cov(x.T, bias=True).reshape(4, 4)))]
+    scale, found = q.COVERED / q.chi2_cdf(q.chi2_quantile(q.COVERED, 4), 6), []
+    for start, (mu, v) in enumerate(starts):
+        for step in range(q.STEPS):
+            d2, _ = squares(x, mu, v)
+            bins = np.floor(q.FINE * np.log2(d2 + 0.001))
+            due, weight = q.COVERED * len(x), np.zeros(len(x))
+            for b in np.unique(bins):
+                n = (bins == b).sum()
+                weight[bins == b] = min(1.0, max(0.0, due / n))
+                due -= n
+            mu = weight @ x / weight.sum()
+            v = floored(scale * ((x * weight[:, None]).T @ x / weight.sum() - np.outer(mu, mu)))
+            found.append((round(squares(x, mu, v)[1], 3), start, step, mu, v))
+    return min(found, key=lambda f: f[:3])[3:]
+
+
+def test_distances_equal_those_of_blended_estimates(spark, sf_dir, docs):
+    """The whole verdict again in numpy: vectors, estimates of three levels, how they lean on each other, distance and limit."""
+    q, stats = quality_rules, run(spark, sf_dir, "op5_quality_rules")
+    rows = [(d, stats[d["doc_id"]]) for d in docs if not stats[d["doc_id"]].base_failed]
+    lines = [sum(bool(WORD.search(x)) for x in d["text"].split("\n")) for d, _ in rows]
+    x = np.array([[math.log(max(r.word_chars / r.n_words, 0.1)), math.sqrt(r.n_symbols / r.word_chars), r.n_dup_lines / n, r.n_repeat_words / r.n_words] for (_, r), n in zip(rows, lines, strict=True)])
+    x = np.floor(x * q.UNIT + 0.5)
+    floors, vague = (np.array(list(v.values())) * q.UNIT for v in (q.FLOORS, q.VAGUE))
+    keys = [(None, d["lang"], (d["lang"], d["source"])) for d, _ in rows]
+    own = {k: np.flatnonzero([key[level] == k for key in keys]) for level in range(3) for k in {key[level] for key in keys} if level or k is None}
+    estimates: dict = {}
+    blends: dict = {}
+    for key in set(keys):
+        m, v = None, np.diag(vague**2)
+        for level, k in enumerate(key):
+            at = own[k] if level else np.arange(len(x))
+            if (level, k) not in estimates:
+                estimates[level, k] = concentrated(x[at], floors, q)
+            mu, e = estimates[level, k]
+            w = len(at) / (len(at) + q.PRIOR)
+            m, v = (mu, w * e + (1 - w) * v) if m is None else (w * mu + (1 - w) * m, w * e + (1 - w) * v + w * (1 - w) * np.outer(mu - m, mu - m))
+        blends[key] = m, v
+    far = np.array([math.sqrt(squares(z[None], *blends[k])[0][0]) for z, k in zip(x, keys, strict=True)])
+    assert np.allclose([r.distance for _, r in rows], far, atol=2e-3)
+    limit = math.sqrt(q.chi2_quantile(1 - q.TAIL, 4))
+    assert all(r.kept == (f <= limit) for (_, r), f in zip(rows, far, strict=True) if abs(f - limit) > 0.01)
+
+
 def test_one_odd_document_is_rejected(spark):
     rng = np.random.default_rng(2)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
