@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_rules, token_files, tokenizing, url_filter
+import corpus_pipeline
+from tidemark.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_rules, spread, token_files, tokenizing, url_filter
 from tidemark.tables import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, r long, key string, size long, d string, n_lines string, row string"
@@ -317,3 +318,52 @@ def test_jaccard_of_excerpts_and_random_cuts(spark):
     found = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: find(i) for i in ids}
     assert sum(find(i) != i for i in ids) > 12
+
+
+def test_steps_up_at_any_depth_and_clashing_columns(spark):
+    """Targets with many steps up, very long urls, and pages with columns named like the new ones."""
+    up, long = "../" * 30, "https://a.org/" + "x/" * 20_000
+    pages = spark.createDataFrame(
+        [(1, "https://a.org/" + "d/" * 25 + "p", f'<link rel="canonical" href="{up}q/./r/../s">', "h", "r"), (2, "https://a.org/q/s", "", "h", "r"), (3, long, f'<link rel=canonical href="{"../" * 9}z">', None, None), (4, None, None, "h", "r")],
+        "page_id long, url string, html string, host string, component string",
+    )
+    assert {tuple(r) for r in url_filter.page_links(pages).where("from_url not like '%x/x/%'").collect()} == {("https://a.org/" + "d/" * 25 + "p", "https://a.org/q/s")}
+    assert [r.to_url for r in url_filter.page_links(pages.where("page_id = 3")).collect()] == [long[: -2 * 9] + "z"]
+    rules = spark.createDataFrame([("block", "a.org", "/q/")], "action string, rule_host string, rule_path string")
+    rows = url_filter.judge_urls(pages.withColumns({"rule": F.lit(1), "verdict": F.lit(2), "action": F.lit(3), "key": F.lit(4)}), rules, url_filter.page_links(pages)).collect()
+    assert {r.page_id: (r.host, r.verdict, r.rule) for r in rows} == {1: ("a.org", "block", None), 2: ("a.org", "block", "a.org/q/"), 3: ("a.org", "allow", None), 4: ("", "allow", None)}
+    assert {(r.action, r.key) for r in rows} == {(3, 4)}
+
+
+def test_a_component_of_most_urls_is_spread(spark):
+    """One key with two thirds of the rows: no task gets more than its share, with broadcasts for heavy keys alone."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(300_000).select(F.col("id").alias("url"), F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id")).alias("component"))
+        facts = rows.groupBy("component").agg(F.count("*").alias("n"), F.max("url").alias("last"))
+        joined = spread.join_facts(rows, facts, "component", "n", 300_000, "url")
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 300_000 and max(sizes) < 2 * 300_000 / 16
+        assert joined.where("last <> if(component < 0, 299999, url)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_empty_benchmarks_and_items_with_clashing_columns(docs, spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    rows = decontaminate.contamination(docs, none).collect()
+    assert len(rows) == len(ROWS) and not any(r.contaminated or r.n_hit or r.n_items for r in rows)
+    items = spark.createDataFrame([(1, SAME, "d", 1, "w")], "item_id long, text string, doc_id string, n_words long, w string")
+    assert {r.doc_id for r in decontaminate.contamination(docs, items).where("contaminated").collect()} == {3, 4, 9, None}
+
+
+def test_the_pipeline_over_no_documents(spark, tmp_path):
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0

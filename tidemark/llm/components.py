@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     Alternating large-star and small-star steps: neighbours are re-hung on the smallest node
     known, so the number of rounds grows with the logarithm of the longest path and they always come to an end. A node's
     neighbourhood is only ever reduced by ``min`` (pre-aggregated before the shuffle) and
-    joined, never gathered, so a star holding a third of all edges stays splittable. Each
+    joined, never gathered; in the joins its edges meet in one task unless Spark splits that partition. Each
     round's edges are written to the shared folder; a forest of stars, such as an earlier result, takes no round. Null ends and loops are ignored; an
     empty table gives an empty result.
     """

@@ -44,7 +44,7 @@ def drop_repeated_lines(
         keyed.select("h1", "h2", "d").distinct().groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
     )
-    # written first: so the join's sides are not dealt as the counts were, and a very common line can be split
+    # written first: its rows can be counted, and up to FREQUENT_ROWS the lines go to it by broadcast; beyond, Spark may split a very common line's partition
     dropped = (
         keyed.join(small(cut(frequent, "frequent"), FREQUENT_ROWS), ["h1", "h2"]).where(~F.col("d").eqNullSafe(F.col("keeper")))
         .groupBy("d", "r").agg(F.array_distinct(F.collect_list("pos")).alias("gone"))

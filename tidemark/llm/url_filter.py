@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.spread import join_facts
 from tidemark.llm.text import LOWER, UPPER, ascii_lower
 from tidemark.tables import cut, small, table
 
@@ -25,8 +26,6 @@ REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 TRACKING = r"(^|&)(utm_[a-z]*|ref|gclid|fbclid)=[^&]*"
 #: A url's scheme and host, its folder, and itself without query and fragment.
 ROOT, FOLDER, BARE = r"(?s)^(.*?://[^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*/)", r"(?s)^([^?#]*)"
-#: Steps up (..) that are resolved in a relative target.
-STEPS_UP = 8
 MAX_BROADCAST_RULES = 100_000
 
 
@@ -50,10 +49,10 @@ def absolute(base: Column, target: Column) -> Column:
     of the page. Null: another scheme than one with ://, a fragment, or a base without a host."""
     root = F.regexp_extract(base, ROOT, 1)
     folder = F.coalesce(F.nullif(F.regexp_extract(base, FOLDER, 1), F.lit("")), F.lit("/"))
-    resolved = F.regexp_replace(F.concat(folder, F.regexp_extract(target, BARE, 1)), r"/(\./)+", "/")
-    for _ in range(STEPS_UP):
-        resolved = F.regexp_replace(resolved, r"/[^/]+/\.\./", "/")
-    resolved = F.concat(root, F.regexp_replace(resolved, r"^(/\.\.)+/", "/"), F.regexp_replace(target, BARE, ""))
+    # one fold over the path: a step up takes the last part away, however many there are
+    parts = F.slice(F.split(F.concat(folder, F.regexp_extract(target, BARE, 1)), "/"), F.lit(2), F.lit(1_000_000))
+    walked = F.aggregate(parts, F.lit(""), lambda at, p: F.when(p == "..", F.regexp_replace(at, "/[^/]*$", "")).when(p == ".", at).otherwise(F.concat(at, F.lit("/"), p)))
+    resolved = F.concat(root, F.coalesce(F.nullif(walked, F.lit("")), F.lit("/")), F.regexp_replace(target, BARE, ""))
     return (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when((root == "") | target.rlike("^#|^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
@@ -125,13 +124,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFram
         "url", "rule", "action", F.coalesce("component", "url").alias("component"),
     )
     shared = member.groupBy("component").agg(
-        F.max(F.col("action") == "allow").alias("any_allow"), F.max(F.col("action") == "block").alias("any_block")
+        F.count("*").alias("urls"), F.max(F.col("action") == "allow").alias("any_allow"), F.max(F.col("action") == "block").alias("any_block")
     )
     verdict = (
         F.when(F.col("action").isNotNull(), F.col("action"))
         .when(F.coalesce("any_allow", F.lit(False)), "allow").when(F.coalesce("any_block", F.lit(False)), "block").otherwise("allow")
     )
-    judged = member.join(shared, "component").select(F.col("url").alias("u"), "rule", verdict.alias("verdict"), "component")
+    # one canonical target may have a third of all urls
+    judged = join_facts(member, shared, "component", "urls", ruled.count(), "url").select(F.col("url").alias("u"), "rule", verdict.alias("verdict"), "component")
     new = ("host", "path", "rule", "verdict", "component")
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col("url").alias("page_url"))
     # null urls are spread by a key that no url has
@@ -161,10 +161,9 @@ def _quoted(x: str) -> str:
 
 
 def _resolved() -> str:
-    out = f"regexp_replace(coalesce(nullif(regexp_extract(url, '{FOLDER}', 1), ''), '/') || regexp_extract(t, '{BARE}', 1), '/(\\./)+', '/', 'g')"
-    for _ in range(STEPS_UP):
-        out = f"regexp_replace({out}, '/[^/]+/\\.\\./', '/', 'g')"
-    return f"regexp_extract(url, '{ROOT}', 1) || regexp_replace({out}, '^(/\\.\\.)+/', '/') || regexp_replace(t, '{BARE}', '')"
+    parts = f"string_split(coalesce(nullif(regexp_extract(url, '{FOLDER}', 1), ''), '/') || regexp_extract(t, '{BARE}', 1), '/')[2:]"
+    walked = f"list_reduce(list_concat([''], {parts}), lambda a, p: CASE WHEN p = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN p = '.' THEN a ELSE a || '/' || p END)"
+    return f"regexp_extract(url, '{ROOT}', 1) || coalesce(nullif({walked}, ''), '/') || regexp_replace(t, '{BARE}', '')"
 
 
 ORACLE = f"""
