@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import chain, rules, tagging
+from tidemark.operators import chain, merge, rules, tagging
 from tidemark.sources import files, paged, snapshots, status
 
 
@@ -88,3 +88,13 @@ def test_aliases_that_move_with_a_merger_are_not_stolen(spark, severity):
     assert sorted((r.severity, r.row_key, r.message) for r in found) == [(severity, "y", "taken from A by B"), (severity, "z", "taken from B by D")]
     merged = after.where("owner <> 'B'")
     assert [r.row_key for r in rules.alias_steals(before, merged, "alias", "owner", "steals", severity).collect()] == []
+
+
+def test_whole_records_are_merged_or_refused(spark):
+    table = lambda *rows: spark.createDataFrame(rows, "k int, a string, b int")
+    base = table((1, "a", 1), (2, "b", None), (3, "c", 3), (4, "d", 4), (5, "e", 5))
+    ours, theirs = table((1, "A", 1), (2, "b", None), (3, "c", 3), (5, "E", 5), (6, "new", 1)), table((1, "a", 1), (2, "b", 2), (4, "d", 4), (5, "E", 5), (7, "x", None))
+    found = merge.three_way_records(base, ours, theirs, "k", ["a", "b"])
+    assert {tuple(r) for r in found.collect()} == {(1, "A", 1, "ours"), (2, "b", 2, "theirs"), (3, "c", 3, "same"), (4, "d", 4, "same"), (5, "E", 5, "both"), (6, "new", 1, "ours"), (7, "x", None, "theirs")}
+    with pytest.raises(ValueError, match="refused: 1 records .* 2"):
+        merge.three_way_records(base, table((1, "A", 1), (2, "z", None)), theirs, "k", ["a", "b"])

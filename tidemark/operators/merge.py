@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.tables import cut
+
 
 def _sided(df: DataFrame, key: str, side: str) -> DataFrame:
     return df.select(F.col(key), F.lit(True).alias(f"{side}__there"), *[F.col(c).alias(f"{side}__{c}") for c in df.columns if c != key])
@@ -76,6 +78,27 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, fie
     return x.select(key, value.alias("value"), status.alias("status"), gone.alias("deleted"))
 
 
+def three_way_records(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fields, side): whole records of both sides, each from the side that edited it; refused as a whole where both edited one differently.
+
+    A record counts as edited if it is not, in every field, what base has. One that neither edited is the
+    same, one that only one side has stays, also if the other removed it; one that both removed is gone. Keys are distinct within each
+    table. A conflict raises ValueError, which names the first few; nothing is merged then.
+    """
+    side = lambda df, name: df.select(F.col(key), F.struct(*fields).alias(name))
+    x = side(base, "_b").join(side(ours, "_o"), key, "full").join(side(theirs, "_t"), key, "full")
+    edited = lambda name: F.col(name).isNotNull() & ~F.col(name).eqNullSafe(F.col("_b"))
+    x = cut(x.withColumns({"_oe": edited("_o"), "_te": edited("_t")}), "sides")
+    conflicts = x.where(F.col("_oe") & F.col("_te") & ~F.col("_o").eqNullSafe(F.col("_t"))).select(F.col(key).cast("string").alias("k"))
+    first = [r.k for r in conflicts.orderBy("k").limit(8).collect()]
+    if first:
+        raise ValueError(f"refused: {conflicts.count()} records are edited differently on both sides: {', '.join(first)}")
+    there = x.where(F.col("_o").isNotNull() | F.col("_t").isNotNull())
+    record = F.when(F.col("_te"), F.col("_t")).otherwise(F.coalesce("_o", "_t"))
+    side_of = F.when(F.col("_te") & F.col("_oe"), "both").when(F.col("_te"), "theirs").when(F.col("_oe"), "ours").otherwise("same")
+    return there.select(key, record.alias("_r"), side_of.alias("side")).select(key, *[F.col("_r").getField(c).alias(c) for c in fields], "side")
+
+
 def carry_forward(new: DataFrame, previous: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``new`` with null fields filled from ``previous``; carried tells whether any was."""
     old = previous.select(F.col(key), *[F.col(f).alias(f"_{f}") for f in fields])

@@ -195,7 +195,31 @@ SELECT p_partkey, lower(p_name) || ' ' || lower(p_brand) AS form, CASE WHEN lowe
   WHEN p_type LIKE 'P%' THEN 'allowed' ELSE 'lost' END AS outcome FROM part WHERE p_size <= 6
 """
 
+def three_way_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers edited, added and removed on two sides, merged record by record, after a merge with conflicts was refused."""
+    s, fields = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), ["s_name", "s_nationkey", "s_acctbal"]
+    k = F.col("s_suppkey")
+    ours = s.where(k % 11 != 3).withColumn("s_acctbal", F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("s_acctbal"))).union(s.where(k % 4 == 0).select(-k - 1, F.lit("ours"), "s_nationkey", "s_acctbal"))
+    both = s.where(k % 13 != 3).withColumn("s_name", F.when(k % 7 == 0, F.concat("s_name", F.lit(" Ltd"))).otherwise(F.col("s_name")))
+    theirs = both.where(k % 35 != 0).union(s.where(k % 35 == 0)).where("s_suppkey % 13 <> 3").union(s.where(k % 6 == 0).select(-k - 1_000_000, F.lit("theirs"), "s_nationkey", "s_acctbal"))
+    try:
+        merge.three_way_records(s, ours, both, "s_suppkey", fields)
+        refused = False
+    except ValueError:
+        refused = True
+    return merge.three_way_records(s, ours, theirs, "s_suppkey", fields).withColumn("refused", F.lit(refused))
+
+
+THREE_WAY_SUPPLIERS = """
+WITH s AS (SELECT s_suppkey AS k, s_name AS n, s_nationkey AS c, s_acctbal AS b FROM supplier),
+m AS (SELECT k, CASE WHEN k % 7 = 0 AND k % 35 <> 0 AND k % 13 <> 3 THEN n || ' Ltd' ELSE n END AS n, c, CASE WHEN k % 5 = 0 AND k % 11 <> 3 THEN NULL ELSE b END AS b,
+  CASE WHEN k % 7 = 0 AND k % 35 <> 0 AND k % 13 <> 3 THEN 'theirs' WHEN k % 5 = 0 AND k % 11 <> 3 AND b IS NOT NULL THEN 'ours' ELSE 'same' END AS side FROM s WHERE k % 11 <> 3 OR k % 13 <> 3),
+u AS (SELECT * FROM m UNION ALL SELECT -k - 1, 'ours', c, b, 'ours' FROM s WHERE k % 4 = 0 UNION ALL SELECT -k - 1000000, 'theirs', c, b, 'theirs' FROM s WHERE k % 6 = 0)
+SELECT k AS s_suppkey, n AS s_name, c AS s_nationkey, b AS s_acctbal, side, (SELECT count(*) FROM s WHERE k % 35 = 0 AND k % 11 <> 3 AND k % 13 <> 3) > 0 AS refused FROM u
+"""
+
 QUERIES = {
+    "three_way_suppliers": (three_way_suppliers, THREE_WAY_SUPPLIERS),
     "first_source_wins": (first_source_wins, FIRST_SOURCE), "children_lists": (children_lists, CHILDREN), "feed_overlay": (feed_overlay, FEED), "range_on_top": (range_on_top, RANGE), "rename_pairs": (rename_pairs, RENAMES),
     "children_changes": (children_changes, CHILDREN_CHANGES), "vocabulary_difference": (vocabulary_difference, VOCABULARY), "parts_refused": (parts_refused, PARTS_REFUSED), "parts_merged": (parts_merged, PARTS_MERGED), "worklist_rebuild": (worklist_rebuild, REBUILD),
     "newest_blocks": (newest_blocks, NEWEST), "carried_retest": (carried_retest, RETEST), "sticky_flags": (sticky_flags, STICKY), "no_loss_forms": (no_loss_forms, NO_LOSS_FORMS),
