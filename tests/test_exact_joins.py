@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, search
+from tidemark.operators import clusters, listing, search
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -41,3 +41,15 @@ def test_overlaps_equal_all_pairs(spark):
     want = {(g, i, j) for i, g, s in sets for j, h, t in sets if i < j and g == h and len(s & t) >= max(2, min(len(s), len(t)) // 2)}
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_colisting_equals_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), None if rng.random() < 0.02 else f"g{int(rng.paretovariate(0.5)) % 30}") for _ in range(400)]
+    of: dict = {}
+    for m, g in rows:
+        if g:
+            of.setdefault(m, set()).add(g)
+    for floor in (1, 2, 4):
+        found = [tuple(r) for r in listing.colisting(spark.createDataFrame(rows, "m int, g string"), "m", "g", floor).select("a", "b", "shared").collect()]
+        assert sorted(found) == sorted((a, b, len(of[a] & of[b])) for a in of for b in of if a != b and len(of[a] & of[b]) >= floor)

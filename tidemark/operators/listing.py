@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.tables import cut
+
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
     """Pairs a < b with their mirror images: rows are doubled after they are counted, not before."""
@@ -12,10 +14,19 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def colisting(bridge: DataFrame, member: str, group: str, floor: int) -> DataFrame:
-    """(a, b, shared): ordered pairs of members with at least ``floor`` groups in common."""
-    pairs = bridge.select(member, group).distinct()
-    a, b = pairs.select(F.col(member).alias("a"), group), pairs.select(F.col(member).alias("b"), group)
-    return _both_ways(a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= floor))
+    """(a, b, shared): ordered pairs of members with at least ``floor`` groups in common.
+
+    A member's groups are ordered by size. The smallest group that two such members share is not among
+    either one's last ``floor`` - 1, so they meet by the others only, at that one, and a large
+    group's members are paired by it only where they share no smaller one. Null groups are none.
+    """
+    pairs = bridge.select(F.col(member).alias("m"), F.col(group).alias("g")).where("g is not null").distinct()
+    sized = pairs.join(pairs.groupBy("g").agg(F.count("*").alias("n")), "g")
+    lists = cut(sized.groupBy("m").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x.g).alias("gs")), "groups")
+    side = lambda m, gs: lists.select(F.col("m").alias(m), F.col("gs").alias(gs), F.explode(F.slice("gs", F.lit(1), F.greatest(F.size("gs") - (floor - 1), F.lit(0)))).alias("t"))
+    common = F.array_intersect("ga", "gb")
+    met = side("a", "ga").join(side("b", "gb"), "t").where("a < b").where((F.get(common, F.lit(0)) == F.col("t")) & (F.size(common) >= floor))
+    return _both_ways(met.select("a", "b", F.size(common).cast("long").alias("shared")))
 
 
 def peers(bridge: DataFrame, member: str, group: str) -> DataFrame:
