@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import pkgutil
 import re
@@ -112,11 +113,19 @@ def _spelled(plain: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Lower-cased text without owner lines, title and punctuation, in one spelling, single-spaced, any holder's name as one word."""
-    plain = F.coalesce(text, F.lit(""))
-    for pattern, replacement in OWNERS:
-        plain = F.regexp_replace(plain, pattern, replacement)
-    plain = F.regexp_replace(ascii_lower(plain), PUNCTUATION, " ")
-    return F.trim(F.get(F.transform(F.array(plain), _spelled), F.lit(0)))
+    def unowned(x: Column) -> Column:
+        """The steps of OWNERS, each where a word stands without which it does nothing."""
+        has = lambda *found: functools.reduce(Column.__or__, [x.low.contains(f) for f in found])
+        out = x.text
+        for (pattern, replacement), words in zip(OWNERS, [("copyright",), ("copyright", "(c)", "©"), *[("all rights reserved",)] * 2, ("licen",)], strict=True):
+            out = F.when(has(*words), F.regexp_replace(out, pattern, replacement)).otherwise(out)
+        return out
+
+    whole = F.coalesce(text, F.lit(""))
+    # each step's value is computed once for the next
+    steps = F.transform(F.array(F.struct(whole.alias("text"), F.lower(whole).alias("low"))), unowned)
+    steps = F.transform(steps, lambda x: F.regexp_replace(ascii_lower(x), PUNCTUATION, " "))
+    return F.trim(F.get(F.transform(steps, _spelled), F.lit(0)))
 
 
 def digest(text: Column) -> Column:
