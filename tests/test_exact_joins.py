@@ -53,3 +53,29 @@ def test_colisting_equals_all_pairs(spark):
     for floor in (1, 2, 4):
         found = [tuple(r) for r in listing.colisting(spark.createDataFrame(rows, "m int, g string"), "m", "g", floor).select("a", "b", "shared").collect()]
         assert sorted(found) == sorted((a, b, len(of[a] & of[b])) for a in of for b in of if a != b and len(of[a] & of[b]) >= floor)
+
+
+def test_members_with_equal_groups_are_paired_once_and_expanded_in_parts(spark, monkeypatch):
+    """Classes of one member and of many, whose rows are more than a part's; ties that pass k."""
+    monkeypatch.setattr(listing, "CHUNK", 3)
+    rng = random.Random(8)
+    kinds = [rng.sample("abcdefgh", rng.randrange(1, 5)) for _ in range(12)]
+    of = {m: set(kinds[min(int(rng.paretovariate(0.7)), 12) - 1]) for m in range(60)}
+    bridge = spark.createDataFrame([(m, g) for m, gs in of.items() for g in gs] + [(None, "a"), (3, None)], "m int, g string")
+    size = {g: sum(g in gs for gs in of.values()) + (g == "a") for g in "abcdefgh"}
+    want = {(a, b): (len(of[a] & of[b]), round(sum(1 / size[g] for g in of[a] & of[b]), 9)) for a in of for b in of if a != b and of[a] & of[b]}
+    assert sorted(tuple(r) for r in listing.colisting(bridge, "m", "g", 2).select("a", "b", "shared").collect()) == sorted((a, b, n) for (a, b), (n, _) in want.items() if n >= 2)
+    assert {(r.a, r.b): (r.shared, round(r.weight, 9)) for r in listing.peers(bridge, "m", "g").collect()} == want
+    top = {}
+    for (a, b), score in want.items():
+        upto = sum(s >= score for (x, _), s in want.items() if x == a)
+        if upto <= 7:
+            top[a, b] = (*score, upto)
+    assert top and {(r.a, r.b): (r.shared, round(r.weight, 9), r.rows_upto) for r in listing.top_peers(bridge, "m", "g", 7).collect()} == top
+
+
+def test_pairs_are_made_of_classes(spark):
+    """Copies of members make no more pairs before the result is made of them."""
+    rows = [(m + 10 * c, f"g{g}") for c in range(20) for m in range(6) for g in range(m, m + 3)]
+    members, classes, met = listing._classes(spark.createDataFrame(rows, "m int, g string"), "m", "g")
+    assert (members.count(), classes.count(), met.count()) == (120, 6, 6 + 5 + 4)

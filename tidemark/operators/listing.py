@@ -2,36 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.tables import cut
+from tidemark.tables import cut, small
+
+#: Members of a class that are expanded together, and pairs that one task makes.
+CHUNK, PAIRS = 500, 1_000_000
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
-    """Pairs a < b with their mirror images: rows are doubled after they are counted, not before."""
+    """Pairs a < b with their mirror images: rows are doubled after they are counted, not before. A class beside itself comes once."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), *rest).select("p.a", "p.b", *rest)
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(F.explode(ways).alias("p"), *rest).select("p.a", "p.b", *rest)
+
+
+def _spread(rows: DataFrame, pairs: Column) -> DataFrame:
+    """The rows dealt evenly to as many tasks as the ``pairs`` they make are due: their own few bytes would be read by one."""
+    total = rows.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0]
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(total // PAIRS) + 1))
+
+
+def _classes(bridge: DataFrame, member: str, group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with the same groups are one class, named by the least of them.
+
+    Gives the members (c, part, m), dealt to parts of some CHUNK of a class; the classes (c, k), of k members; and
+    the pairs of classes a <= b that share a group (a, b, shared, weight), their weight the sum of 1 / group size.
+    """
+    pairs = bridge.select(F.col(member).alias("m"), F.col(group).alias("g")).where("g is not null").distinct()
+    sized = pairs.join(pairs.groupBy("g").agg(F.count("*").alias("size")), "g").where("m is not null")
+    lists = cut(sized.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("size", "g"))).alias("gs")), "lists")
+    classes = cut(lists.groupBy("gs").agg(F.min("m").alias("c"), F.count("*").alias("k")), "classes")
+    members = cut(lists.join(classes, "gs").select("c", F.pmod(F.xxhash64("m"), F.floor(F.col("k") / CHUNK) + 1).cast("int").alias("part"), "m"), "members")
+    each = classes.select("c", F.explode("gs").alias("s")).select("c", "s.g", "s.size")
+    n = each.groupBy("g").agg(F.count("*").alias("n"))
+    left = _spread(each.join(n, "g").select(F.col("c").alias("a"), "g", "size", "n"), F.col("n")).drop("n")
+    met = left.join(small(each.select(F.col("c").alias("b"), "g")), "g").where("a <= b")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.bround(F.sum(F.lit(1.0) / F.col("size")), 9).alias("weight"))
+    return members, classes.select("c", "k"), cut(met, "pairs")
+
+
+def _expanded(met: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ordered pairs of classes as those of their members; nobody is beside themself. Large classes meet part by part."""
+    of = lambda c: small(classes.select(F.col("c").alias(c), F.col("k").alias(f"k{c}")))
+    parts = lambda k: F.explode(F.sequence(F.lit(0), F.floor(F.col(k) / CHUNK).cast("int")))
+    rest = [c for c in met.columns if c not in ("a", "b")]
+    x = met.join(of("a"), "a").join(of("b"), "b").withColumn("pa", parts("ka")).withColumn("pb", parts("kb"))
+    x = _spread(x, F.least(F.col("ka"), F.lit(CHUNK)) * F.least(F.col("kb"), F.lit(CHUNK)))
+    own = lambda c: small(members.select(F.col("c").alias(c), F.col("part").alias(f"p{c}"), F.col("m").alias(f"m{c}")))
+    x = x.join(own("a"), ["a", "pa"]).join(own("b"), ["b", "pb"]).where("ma <> mb")
+    return x.select(F.col("ma").alias("a"), F.col("mb").alias("b"), *rest)
 
 
 def colisting(bridge: DataFrame, member: str, group: str, floor: int) -> DataFrame:
     """(a, b, shared): ordered pairs of members with at least ``floor`` groups in common.
 
-    A member's groups are ordered by size. The smallest group that two such members share is not among
-    either one's last ``floor`` - 1, so they meet by the others only, at that one, and a large
-    group's members are paired by it only where they share no smaller one. Null groups are none.
+    Groups are counted for pairs of classes, whose members have the same groups, and only the result is
+    made of members. Null groups are none.
     """
-    pairs = bridge.select(F.col(member).alias("m"), F.col(group).alias("g")).where("g is not null").distinct()
-    sized = pairs.join(pairs.groupBy("g").agg(F.count("*").alias("n")), "g")
-    lists = cut(sized.groupBy("m").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x.g).alias("gs")), "groups")
-    side = lambda m, gs: lists.select(F.col("m").alias(m), F.col("gs").alias(gs), F.explode(F.slice("gs", F.lit(1), F.greatest(F.size("gs") - (floor - 1), F.lit(0)))).alias("t"))
-    common = F.array_intersect("ga", "gb")
-    met = side("a", "ga").join(side("b", "gb"), "t").where("a < b").where((F.get(common, F.lit(0)) == F.col("t")) & (F.size(common) >= floor))
-    return _both_ways(met.select("a", "b", F.size(common).cast("long").alias("shared")))
+    members, classes, met = _classes(bridge, member, group)
+    return _expanded(_both_ways(met.where(F.col("shared") >= floor).select("a", "b", "shared")), members, classes)
 
 
 def peers(bridge: DataFrame, member: str, group: str) -> DataFrame:
     """(a, b, shared, weight): pairs weighed by the sum of 1 / group size, so small groups count for more."""
-    pairs = bridge.select(member, group).distinct()
-    sized = pairs.join(pairs.groupBy(group).agg(F.count("*").alias("size")), group)
-    a, b = sized.select(F.col(member).alias("a"), group, "size"), pairs.select(F.col(member).alias("b"), group)
-    return _both_ways(a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.bround(F.sum(F.lit(1.0) / F.col("size")), 9).alias("weight")))
+    members, classes, met = _classes(bridge, member, group)
+    return _expanded(_both_ways(met), members, classes)
+
+
+def top_peers(bridge: DataFrame, member: str, group: str, k: int) -> DataFrame:
+    """(a, b, shared, weight, rows_upto): of each member's ``peers`` whole tie groups in falling order of shared and weight, up to the first that would pass k rows.
+
+    Classes are ranked, each as many rows as it has members (its own: one less), and only the k rows of a member are made of them.
+    """
+    members, classes, met = _classes(bridge, member, group)
+    x = _both_ways(met).join(small(classes.withColumnRenamed("c", "b")), "b").withColumn("k", F.col("k") - (F.col("a") == F.col("b")).cast("int")).where("k > 0")
+    order = Window.partitionBy("a").orderBy(F.desc(F.struct("shared", "weight")))
+    # a rank is never more than the rows up to it
+    x = x.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= k)
+    x = x.withColumn("rows_upto", F.sum("k").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("rows_upto") <= k)
+    return _expanded(x.select("a", "b", "shared", "weight", "rows_upto"), members, classes)
