@@ -33,9 +33,7 @@ COLISTING = f"WITH {_BRIDGE} SELECT x.member AS a, y.member AS b, count(*) AS sh
 
 
 def peers_tie_safe(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.struct("shared", "weight")
-    found = listing.peers(_bridge(spark, sf), "member", "grp").withColumn("score", score)
-    return ranking.tie_safe_top(found, "a", [F.desc("score")], 8).select("a", "b", "shared", F.round("weight", 6).alias("weight"), "rows_upto")
+    return listing.top_peers(_bridge(spark, sf), "member", "grp", 8).select("a", "b", "shared", F.round("weight", 6).alias("weight"), "rows_upto")
 
 
 PEERS = f"""
