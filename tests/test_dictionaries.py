@@ -26,6 +26,29 @@ def test_the_first_rule_in_order_wins(spark):
     assert sorted(tuple(r) for r in dictionary.first_rule(texts, "id", "text", rules).collect()) == [(1, 2, "mesh", "hernia"), (2, 2, "glove", "gloves")]
 
 
+def test_first_rules_are_told_in_the_scan(spark, monkeypatch):
+    """Many terms in a text, repeated keys, one automaton and several: a text is one row for each automaton, not one for each term."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts = [(i % 25, text(rng.randrange(30)) if i % 10 else None) for i in range(30)]
+    rules = [(text(rng.randrange(5)), f"l{i % 7}", f"p{rng.randrange(40)}") for i in range(60)]
+    first = {}
+    for term, label, place in rules:
+        if term:
+            first[term] = min(first.get(term, (place, label)), (place, label))
+    want = {}
+    for k, x in texts:
+        for term, (place, label) in first.items():
+            if x is not None and term in x:
+                want.setdefault(k, []).append((place, term, label))
+    want = sorted((k, len(v), min(v)[1], min(v)[2]) for k, v in want.items())
+    monkeypatch.setattr(dictionary, "contained", None)  # a row for each term
+    for chars in (dictionary.CHARS, 30):
+        monkeypatch.setattr(dictionary, "CHARS", chars)
+        found = dictionary.first_rule(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame(rules, "term string, label string, place string"))
+        assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_same_names_step_by_step(spark):
     ours = [(1, "cj medical"), (2, "ab scientific"), (3, "hamilton"), (4, ""), (5, None), (6, "blue cross care group"), (7, "a b")]
     theirs = [(1, "c j medical"), (2, "ab scientific"), (3, "hamilton rentals"), (4, "care blue"), (5, "x"), (6, "a"), (7, "medical"), (7, "medical")]

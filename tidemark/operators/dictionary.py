@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.tables import cut
@@ -35,33 +35,43 @@ class _Automata:
         return cls.made[name]
 
 
-def with_terms(rows: DataFrame, text: str, terms: DataFrame, term: str = "term", found: str = "found") -> DataFrame:
-    """The rows with ``found``, the distinct terms that stand anywhere in ``text`` as plain substrings, in no order.
-
-    An Aho-Corasick automaton of all terms reads each text once, in the task that holds it; nothing is
-    shuffled. The terms' size is checked: beyond CHARS they are dealt by their hash to several automata, and rows come once for each. Null texts
-    hold nothing; null and empty terms are in no text.
-    """
-    vocabulary = terms.select(F.col(term).alias("t")).where(F.length("t") > 0).distinct()
+def _scanned(rows: DataFrame, text: str, vocabulary: DataFrame, fields: list[StructField], told: Callable[[set[int], list[str]], tuple], order: list[str]) -> list[DataFrame]:
+    """The rows with ``told`` of the terms in each text, by their numbers in ``order``: a table for each part of the vocabulary (t, distinct, with the columns of the order)."""
     spark, size = rows.sparkSession, vocabulary.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     parts = 1 + size // CHARS
-    schema = StructType([*rows.schema.fields, StructField(found, ArrayType(terms.schema[term].dataType))])
+    schema = StructType([*rows.schema.fields, *fields])
     arrow, place = to_arrow_schema(schema), rows.columns.index(text)
 
     def one(part: int) -> DataFrame:
         own = vocabulary.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == part) if parts > 1 else vocabulary
-        shared, made = spark.sparkContext.broadcast([r.t for r in own.collect()]), uuid.uuid4().hex  # CHARS characters, as counted
+        own = own.orderBy(*order) if order else own
+        shared, made = spark.sparkContext.broadcast([r.t for r in own.select("t").collect()]), uuid.uuid4().hex  # CHARS characters, as counted
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton, names = (_Automata.of(made, shared.value), shared.value) if shared.value else (None, [])
             for batch in batches:
-                lists = [[names[v] for v in {v for _, v in automaton.iter(x.as_py())}] if automaton is not None and x.is_valid else [] for x in batch.column(place)]
-                columns = [*batch.columns, pa.array(lists, arrow.field(found).type)]
+                found = [told({v for _, v in automaton.iter(x.as_py())} if automaton is not None and x.is_valid else set(), names) for x in batch.column(place)]
+                columns = [*batch.columns, *(pa.array([f[i] for f in found], arrow.field(f_.name).type) for i, f_ in enumerate(fields))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         return rows.mapInArrow(scan, schema)
 
-    return reduce(DataFrame.union, [one(p) for p in range(parts)])
+    return [one(p) for p in range(parts)]
+
+
+def _vocabulary(terms: DataFrame, term: str, *more: str) -> DataFrame:
+    return terms.select(F.col(term).alias("t"), *more).where(F.length("t") > 0).distinct()
+
+
+def with_terms(rows: DataFrame, text: str, terms: DataFrame, term: str = "term", found: str = "found") -> DataFrame:
+    """The rows with ``found``, the distinct terms that stand anywhere in ``text`` as plain substrings, in no order.
+
+    An Aho-Corasick automaton of all terms reads each text once, in the task that holds it; nothing is
+    shuffled. The terms' size is checked: beyond CHARS they are dealt by their hash to several automata, and rows come once for each. Null texts
+    hold nothing; null and empty terms are in no text.
+    """
+    field = StructField(found, ArrayType(terms.schema[term].dataType))
+    return reduce(DataFrame.union, _scanned(rows, text, _vocabulary(terms, term), [field], lambda met, names: ([names[v] for v in met],), []))
 
 
 def contained(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
@@ -75,8 +85,14 @@ def first_rule(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataF
     A term given twice counts at its first place. Texts without any term are no rows.
     """
     first = cut(rules.groupBy("term").agg(F.min(F.struct("place", "label")).alias("r")), "rules")
-    met = contained(texts, key, text, first).join(first, "term")
-    return met.groupBy(key).agg(F.count("*").alias("n_terms"), F.min(F.struct("r.place", "term", "r.label")).alias("f")).select(key, "n_terms", "f.term", "f.label")
+    # terms are numbered by place: a text's count and its first are told in its task, whatever it holds
+    fields = [StructField("_n", LongType()), StructField("_term", first.schema["term"].dataType)]
+    told = lambda met, names: (len(met), names[min(met)] if met else None)
+    texts = texts.select(key, F.col(text).alias("_text"))
+    vocabulary = _vocabulary(first.withColumn("place", F.col("r.place")), "term", "place")
+    met = reduce(DataFrame.union, [x.select(key, "_n", "_term").where("_n > 0") for x in _scanned(texts, "_text", vocabulary, fields, told, ["place", "t"])])
+    met = met.join(first, F.col("_term") == F.col("term"))
+    return met.groupBy(key).agg(F.sum("_n").alias("n_terms"), F.min(F.struct("r.place", "term", "r.label")).alias("f")).select(key, "n_terms", "f.term", "f.label")
 
 
 def same_names(ours: DataFrame, theirs: DataFrame, left: str, right: str, name: str, least: int = 2) -> DataFrame:
