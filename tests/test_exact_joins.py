@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, listing, search
+from tidemark.operators import clusters, listing, notices, search
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -79,3 +79,13 @@ def test_pairs_are_made_of_classes(spark):
     rows = [(m + 10 * c, f"g{g}") for c in range(20) for m in range(6) for g in range(m, m + 3)]
     members, classes, met = listing._classes(spark.createDataFrame(rows, "m int, g string"), "m", "g")
     assert (members.count(), classes.count(), met.count()) == (120, 6, 6 + 5 + 4)
+
+
+def test_stories_are_not_broadcast(spark, monkeypatch):
+    """Aliases and scope may be, after they are counted; the plan broadcasts nothing else, however small the stories' files."""
+    monkeypatch.setattr(notices, "small", lambda df: df)
+    stories = spark.createDataFrame([(1, ["ann", "lee"]), (2, ["lee", "north"]), (3, ["x"])], "sid int, words array<string>")
+    aliases, scope = spark.createDataFrame([("o", "ann lee")], "owner string, alias string"), spark.createDataFrame([("o", "north")], "owner string, term string")
+    found = notices.identities(stories, "sid", "words", aliases, scope)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.sid, r.owner, r.how) for r in found.collect()) == [(1, "o", "alias"), (2, None, "none"), (3, None, "none")]
