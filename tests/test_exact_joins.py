@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, listing, notices, search
+from tidemark.plans import stories as stories_plans
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -89,3 +90,11 @@ def test_stories_are_not_broadcast(spark, monkeypatch):
     found = notices.identities(stories, "sid", "words", aliases, scope)
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r.sid, r.owner, r.how) for r in found.collect()) == [(1, "o", "alias"), (2, None, "none"), (3, None, "none")]
+
+
+def test_rivals_records_are_dealt_and_not_broadcast(spark, sf_dir):
+    """The classes' rows meet their records, and rivals their own attributes, by three merges; the records lie in a file for each task."""
+    found = stories_plans.rival_ranking(spark, sf_dir)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 3
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert search.dealt(part, 10).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, part.count() // 10 + 1)
