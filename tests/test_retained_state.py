@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
+
+from tidemark.plans import ingest
 from tidemark.streaming.retained import retained
 
 DAY = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
@@ -25,3 +28,14 @@ def test_keys_expire_and_late_rows_are_counted(spark, tmp_path):
     assert sum(r["late"] for r in reports) == 1 and sum(r["rows"] for r in reports) == sum(map(len, batches))
     last = reports[-1]
     assert last["keys"] <= 4 and last["updated"] <= 6  # forgotten keys are no state any more
+
+
+@pytest.mark.parametrize("name", ["windowed_events", "retained_users"])
+def test_batches_of_several_files(spark, same_rows, monkeypatch, name):
+    """A large batch is written by several tasks, and the stream still takes it as one."""
+    monkeypatch.setattr(ingest, "FILE_ROWS", 1500)
+    sf = "/root/testdata/sf0.01"
+    root, files = ingest._batches(spark, sf, [])
+    assert files == 3 and [len(spark.read.parquet(f"{root}/{n}").inputFiles()) for n in range(3)] == [3, 3, 3]
+    query, sql = ingest.QUERIES[name]
+    same_rows(query(spark, sf), sql, sf)
