@@ -46,3 +46,16 @@ def test_an_index_is_built_once_for_its_files(spark, sf_dir):
     first = postings.once(spark, "probe", docs, postings.text_sections(docs, "doc_id", "text"))
     assert postings.once(spark, "probe", docs, postings.text_sections(docs, "doc_id", "text")) == first
     assert postings.once(spark, "other", docs.limit(1), postings.text_sections(docs.limit(1), "doc_id", "text")) != first
+
+
+def test_building_shuffles_nothing_and_cuts_long_runs(spark, docs, monkeypatch):
+    """A section's words are told in its task, whole, however few characters are told at once; one row a word and run."""
+    monkeypatch.setattr(postings, "CHUNK", 40)
+    path = postings.build(postings.text_sections(docs.coalesce(1), "doc_id", "text"), buckets=3)
+    every = spark.read.parquet(path)
+    rows = every.where("word = 'steel'").collect()
+    assert 1 < len(rows) < sum(len(r.entries) for r in rows)
+    # one task wrote one file for each bucket
+    assert len(every.inputFiles()) == every.select("bucket").distinct().count()
+    want = {(r.doc_id, r.score) for r in search.scored(docs, "doc_id", "text", "the blue steel licence", ("the",)).collect() if r.score}
+    assert {(r.id, r.score) for r in postings.scored(spark, path, "the blue steel licence", ("the",), buckets=3).collect() if r.score} == want

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidemark.functions.text import norm
 from tidemark.operators.search import (
@@ -10,8 +16,8 @@ from tidemark.operators.search import (
 )
 from tidemark.tables import scratch
 
-#: Folders that words are dealt to, and files of a folder, by the texts' ids, so that a frequent word is no single task's.
-BUCKETS, PARTS = 64, 4
+#: Folders that words are dealt to, and characters of texts whose words are told at once.
+BUCKETS, CHUNK = 64, 1_000_000
 #: Rows of a file; words are sorted within, so that a reader passes over row groups too.
 FILE_ROWS = 5_000_000
 
@@ -31,20 +37,55 @@ def record_fields(records: DataFrame, key: str, name: str, keywords: str) -> Dat
     return records.select(F.col(key).alias("id"), F.lit(0).alias("place"), F.col(name).alias("first"), F.col(keywords).alias("second"))
 
 
+def _postings(batches: Iterator[pa.RecordBatch], schema: pa.Schema, chunk: int) -> Iterator[pa.RecordBatch]:
+    """The words of some ``chunk`` characters of sections, each once, with the sections that hold them and its positions there."""
+
+    def told(ids: list, places: list, found: dict[str, list[tuple]]) -> pa.RecordBatch:
+        entries = [e for es in found.values() for e in es]
+        lists = lambda k: pa.array([e[k] for e in entries], pa.list_(pa.int32()))
+        kind = schema.field("entries").type.value_type
+        columns = [pa.array([ids[e[0]] for e in entries], kind.field("id").type), pa.array([places[e[0]] for e in entries], pa.int32()), lists(1), lists(2)]
+        ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
+        rows = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.ListArray.from_arrays(pa.array(ends), rows).cast(schema.field("entries").type)], schema=schema)
+
+    for batch in batches:
+        ids, places, firsts, seconds = (c.to_pylist() for c in batch.columns)
+        found: dict[str, list[tuple]] = {}
+        size = 0
+        for n, texts in enumerate(zip(firsts, seconds, strict=True)):
+            here: dict[str, tuple] = {}
+            for field, text in enumerate(texts, 1):
+                size += len(text)
+                for at, word in enumerate(text.split(" ")):
+                    if word:
+                        if word not in here:
+                            here[word] = (n, [], [])
+                        here[word][field].append(at)
+            for word, entry in here.items():
+                found.setdefault(word, []).append(entry)
+            if size >= chunk:
+                yield told(ids, places, found)
+                found, size = {}, 0
+        if found:
+            yield told(ids, places, found)
+
+
 def build(fields: DataFrame, buckets: int = BUCKETS) -> str:
     """Writes the postings of (id, place, first, second) and returns their path in the shared folder.
 
-    A posting is a word of a section or record: bucket, word, id, place, and its positions in
-    the first field (heading or name) and in the second (section or keywords). One shuffle, by bucket and
-    id, serves the grouping and the files. Null fields have no words; ids may repeat.
+    A posting is a word of a section or record: id, place, and its positions in the first field (heading or name)
+    and in the second (section or keywords). A section's words are told in the task that holds it, so nothing is shuffled: each
+    task writes its words' rows (word, entries) to their buckets' folders, and a frequent word is no single task's. Null fields have no words; ids may repeat.
     """
-    words = lambda c: F.split(norm(F.coalesce(c, F.lit(""))), " ")
-    each = lambda field, c: fields.select("id", "place", F.lit(field).alias("field"), F.posexplode(words(F.col(c))).alias("at", "word"))
-    rows = each(0, "first").union(each(1, "second")).where("word <> ''").withColumn("bucket", bucket_of(F.col("word"), buckets)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
-    positions = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("at"))))
-    postings = rows.repartition("bucket", "part").groupBy("bucket", "part", "word", "id", "place").agg(positions(0).alias("first"), positions(1).alias("second")).drop("part")
+    clean = lambda c: norm(F.coalesce(c, F.lit("")))
+    rows = fields.select("id", F.col("place").cast("int").alias("place"), clean(F.col("first")).alias("first"), clean(F.col("second")).alias("second"))
+    entry = StructType([rows.schema["id"], *StructType.fromDDL("place int, first array<int>, second array<int>").fields])
+    schema = StructType([StructField("word", StringType()), StructField("entries", ArrayType(entry))])
+    arrow, chunk = to_arrow_schema(schema), CHUNK
+    postings = rows.mapInArrow(lambda batches: _postings(batches, arrow, chunk), schema).withColumn("bucket", bucket_of(F.col("word"), buckets))
     path = scratch(fields.sparkSession, "postings")
-    postings.sortWithinPartitions("bucket", "word", "id").write.mode("overwrite").partitionBy("bucket").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    postings.sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return path
 
 
@@ -52,7 +93,7 @@ def read(spark: SparkSession, path: str, words: list[str], buckets: int = BUCKET
     """The postings of ``words``: only their buckets' files are listed, and of these only the row groups that may hold them."""
     asked = spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select(bucket_of(F.col("w"), buckets)).distinct()
     of = sorted(r[0] for r in asked.collect())  # of the query's words
-    return spark.read.parquet(path).where(F.col("bucket").isin(of) & F.col("word").isin(words))
+    return spark.read.parquet(path).where(F.col("bucket").isin(of) & F.col("word").isin(words)).select("bucket", "word", F.explode("entries").alias("e")).select("bucket", "word", "e.*")
 
 
 def _asked(query: str, stop: tuple[str, ...]) -> tuple[list[str], list[str], list[str]]:
