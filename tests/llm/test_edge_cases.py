@@ -8,6 +8,7 @@ import re
 import textwrap
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -367,3 +368,19 @@ def test_the_pipeline_over_no_documents(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_every_training_document_takes_part_in_the_start(spark, monkeypatch):
+    """The rounds before the whole ones read each training document, and none held out, whatever the number of shares."""
+    read: list[int] = []
+
+    def one_round(rows, model, unigram):
+        read.extend(r.rid for r in rows.select("rid").collect())
+        return model, 0.0
+
+    monkeypatch.setattr(lm_score, "one_round", one_round)
+    monkeypatch.setattr(lm_score, "START_DOCS", 3)
+    rows = [(i, i % 5 == 1, b"\x00\x00") for i in range(100)]
+    encoded = spark.createDataFrame(rows, "rid long, held_out boolean, symbols binary")
+    lm_score.train(encoded, np.array([0.5, 0.5]), rounds=0)
+    assert sorted(read) == [i for i, out, _ in rows if not out]

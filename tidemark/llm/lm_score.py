@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm import hidden_markov as hmm
-from tidemark.tables import cut, discard, table
+from tidemark.tables import cut, table
 
 FOLDS, HELD_OUT = 5, 1
 END = b""
@@ -24,8 +24,8 @@ SINGLE, FINE = 1024, 64
 #: Emission symbols: the most frequent words, and classes of all others by their last bytes.
 SYMBOL_WORDS, CLASSES, SUFFIX = 8192, 2048, 3
 STATES, ROUNDS, PRIOR = 12, 4, 200.0
-#: Before the rounds over all training documents, so many over one in START_SHARE of them, chosen by hash of the row;
-#: over START_DOCS of them, or all, where that is more.
+#: Before the rounds over all training documents at once, so many or more over one of START_SHARE shares of them in turn, dealt by hash of the row;
+#: over fewer shares where they would have less than START_DOCS, but always over every share.
 START_ROUNDS, START_SHARE, START_DOCS = 12, 16, 1500
 #: Rounds end early when the log likelihood of a token gains less.
 LEAST_GAIN = 1e-5
@@ -189,8 +189,14 @@ def one_round(training: DataFrame, model: hmm.Model, unigram: np.ndarray) -> tup
     return hmm.maximised(counts, states, unigram, PRIOR), float(v[at < 0].sum())
 
 
+def start_shares(training: DataFrame, documents: int) -> list[DataFrame]:
+    """The training documents dealt to shares, each of them in one."""
+    shares = max(1, min(START_SHARE, documents // START_DOCS))
+    return [training.where(F.pmod(F.xxhash64("rid"), F.lit(shares)) == i) for i in range(shares)] if shares > 1 else [training]
+
+
 def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> hmm.Model:
-    """Baum-Welch over all training documents, after rounds over a share of them that grows with the input.
+    """Baum-Welch over all training documents at once, after rounds over shares of them in turn, until each document had its own.
 
     All rounds run on Spark; the model and the summed counts (a few for each symbol) are all
     that the driver holds.
@@ -198,19 +204,19 @@ def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states:
     training = encoded.where("not held_out").select("symbols", "rid")
     # two bytes a symbol
     size = training.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.length("symbols")), F.lit(0)) / 2).alias("tokens")).first()
-    share = min(1.0, max(1 / START_SHARE, START_DOCS / max(1, size.n)))
-    chosen = training.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    some = training if share == 1.0 else cut(chosen, "start")
+    shares = start_shares(training, size.n)
+    turns = [shares[i % len(shares)] for i in range(max(START_ROUNDS, len(shares)))]
     model = hmm.random_model(states, unigram)
-    for rows, most in ((some, START_ROUNDS), (training, rounds)):
+    for tables in (turns, [training] * rounds):
         before = None
-        for _ in range(most if size.n else 0):
+        for rows in tables if size.n else []:
             model, likelihood = one_round(rows, model, unigram)
-            if before is not None and likelihood - before < LEAST_GAIN * size.tokens * (share if rows is some else 1):
+            # likelihoods of different shares tell nothing about a gain
+            if tables is turns and len(shares) > 1:
+                continue
+            if before is not None and likelihood - before < LEAST_GAIN * size.tokens:
                 break
             before = likelihood
-    if some is not training:
-        discard(some)
     return model
 
 
