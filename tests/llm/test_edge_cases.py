@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_rules, spread, token_files, tokenizing, url_filter
+from tidemark.llm import chat_format, decontaminate, hidden_markov, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_rules, spread, token_files, tokenizing, url_filter
 from tidemark.tables import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, r long, key string, size long, d string, n_lines string, row string"
@@ -384,3 +384,30 @@ def test_every_training_document_takes_part_in_the_start(spark, monkeypatch):
     encoded = spark.createDataFrame(rows, "rid long, held_out boolean, symbols binary")
     lm_score.train(encoded, np.array([0.5, 0.5]), rounds=0)
     assert sorted(read) == [i for i, out, _ in rows if not out]
+
+
+def test_shares_lie_in_files_of_their_own(spark):
+    """A start round reads its own share's files alone, and the shares hold every document once."""
+    training = spark.range(6000).select(F.encode(F.col("id").cast("string"), "utf-8").alias("symbols"), F.col("id").alias("rid"))
+    shares = lm_score.start_shares(training, 6000)
+    assert len(shares) == 4 and sorted(r.rid for s in shares for r in s.collect()) == list(range(6000))
+    assert all("PartitionFilters: [isnotnull(share" in s._jdf.queryExecution().executedPlan().toString() for s in shares)
+
+
+def test_forward_values_are_scaled_now_and_then():
+    """Emissions far below one, words that one state alone says, lengths that end between two scalings, blocks: single precision stays near sums in logarithms."""
+    rng = np.random.default_rng(2)
+    emit = rng.dirichlet(np.full(4000, 0.01), 5).T + 1e-12
+    model = hidden_markov.Model(np.full(5, 0.2), rng.dirichlet(np.ones(5), 5), emit / emit.sum(0))
+    sequences = [rng.integers(0, 4000, n).astype(np.uint16) for n in (1, 2, 3, 4, 5, 7, 8, 9, 30, 61)]
+    want = []
+    for s in sequences:
+        x = np.log(model.start) + np.log(model.emit[s[0]])
+        for w in s[1:]:
+            x = np.logaddexp.reduce(x[:, None] + np.log(model.move), axis=0) + np.log(model.emit[w])
+        want.append(np.logaddexp.reduce(x))
+    assert np.allclose(hidden_markov.forward(model, sequences, 40), want)
+    single, total = hidden_markov.expectations(hidden_markov.single(model), sequences, 40)
+    double, _ = hidden_markov.expectations(model, sequences, 40)
+    assert np.isclose(total, sum(want), rtol=1e-5) and np.allclose(single, double, atol=2e-3)
+    assert np.isclose(double[:5].sum(), len(sequences)) and np.isclose(double[30:].sum(), sum(map(len, sequences))) and hidden_markov.SCALED > 1

@@ -9,6 +9,8 @@ import numpy as np
 
 #: Padded tokens of a batch, which bounds the memory of forward and backward values.
 BATCH_TOKENS, BATCH_ROWS = 250_000, 1024
+#: Times between two scalings of forward values: over so few, emissions relative to their symbol's mean stay in the range of single precision.
+SCALED = 4
 
 
 @dataclass
@@ -47,8 +49,17 @@ def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
 
 
+def relative(model: Model) -> tuple[Model, np.ndarray]:
+    """The model with emissions divided by their symbol's mean, and the logarithms of these means."""
+    mean = model.emit.mean(1, keepdims=True)
+    return Model(model.start, model.move, model.emit / mean), np.log(mean[:, 0].astype(np.float64))
+
+
 def _forward_block(model: Model, symbols: np.ndarray, alive: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward values, emissions over scales, and scales of a run of times; prior: the states expected at the first."""
+    """Forward values, emissions over scales, and scales of a run of times; prior: the states expected at the first.
+
+    Values are scaled at every SCALED-th time, at the last of the run, and at a sequence's own last.
+    """
     (long, rows), s, kind = symbols.shape, len(model.start), model.emit.dtype
     a, b, scales = np.zeros((long, rows, s), kind), np.zeros((long, rows, s), kind), np.ones((long, rows), kind)
     ones = np.ones(s, kind)
@@ -60,16 +71,19 @@ def _forward_block(model: Model, symbols: np.ndarray, alive: np.ndarray, prior:
         else:
             np.matmul(a[t - 1, :n], model.move, out=x)
         x *= e
-        np.matmul(x, ones, out=scales[t, :n])
-        over = np.reciprocal(scales[t, :n])[:, None]
-        x *= over
-        e *= over
+        first = 0 if t % SCALED == SCALED - 1 or t == long - 1 else alive[t + 1]
+        if first < n:
+            np.matmul(x[first:], ones, out=scales[t, first:n])
+            over = np.reciprocal(scales[t, first:n])[:, None]
+            x[first:] *= over
+            e[first:] *= over
     return a, b, scales
 
 
 def forward(model: Model, sequences: list[np.ndarray], tokens: int = BATCH_TOKENS) -> np.ndarray:
     """Natural logarithm of each sequence's likelihood, by the scaled forward recursion, in blocks of at most ``tokens``."""
-    out = np.zeros(len(sequences))
+    model, means = relative(model)
+    out = np.array([means[x].sum() for x in sequences])
     for index in batches(sequences, tokens):
         symbols, alive = padded([sequences[i] for i in index])
         total, prior = np.zeros(len(index)), np.broadcast_to(model.start, (len(index), len(model.start)))
@@ -78,7 +92,7 @@ def forward(model: Model, sequences: list[np.ndarray], tokens: int = BATCH_TOKEN
             a, _, scales = _forward_block(model, symbols[lo : lo + block], alive[lo : lo + block], prior)
             total += np.log(scales).sum(0)  # 1 where a sequence has ended
             prior = a[-1] @ model.move
-        out[index] = total
+        out[index] += total
     return out
 
 
@@ -92,6 +106,7 @@ def expectations(model: Model, sequences: list[np.ndarray], tokens: int = BATCH_
     """
     s, m = len(model.start), len(model.emit)
     kind = model.emit.dtype
+    model, means = relative(model)
     starts, moves, emits, total = np.zeros(s), np.zeros((s, s)), np.zeros((m, s)), 0.0
     back = np.ascontiguousarray(model.move.T)
     for index in batches([x for x in sequences if len(x)], tokens):
@@ -121,6 +136,7 @@ def expectations(model: Model, sequences: list[np.ndarray], tokens: int = BATCH_
                 starts += gamma[0].sum(0)
             live = np.flatnonzero(np.arange(rows)[None, :] < there[:, None])
             flat = seen.ravel()[live]
+            total += float(means[flat].sum())
             order = np.argsort(flat, kind="stable")  # two-byte numbers are sorted by their bytes
             flat, weight = flat[order], gamma.reshape(-1, s).take(live[order], axis=0)
             first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))

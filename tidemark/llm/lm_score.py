@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm import hidden_markov as hmm
-from tidemark.tables import cut, table
+from tidemark.tables import cut, discard, table
 
 FOLDS, HELD_OUT = 5, 1
 END = b""
@@ -27,6 +27,8 @@ STATES, ROUNDS, PRIOR = 12, 4, 200.0
 #: Before the rounds over all training documents at once, so many or more over one of START_SHARE shares of them in turn, dealt by hash of the row;
 #: over fewer shares where they would have less than START_DOCS, but always over every share.
 START_ROUNDS, START_SHARE, START_DOCS = 12, 16, 1500
+#: Tokens that a task deals to shares, so that these are a few files.
+SHARE_TOKENS = 32_000_000
 #: Rounds end early when the log likelihood of a token gains less.
 LEAST_GAIN = 1e-5
 FLUSH = 400_000
@@ -189,10 +191,14 @@ def one_round(training: DataFrame, model: hmm.Model, unigram: np.ndarray) -> tup
     return hmm.maximised(counts, states, unigram, PRIOR), float(v[at < 0].sum())
 
 
-def start_shares(training: DataFrame, documents: int) -> list[DataFrame]:
-    """The training documents dealt to shares, each of them in one."""
+def start_shares(training: DataFrame, documents: int, tokens: float = 0) -> list[DataFrame]:
+    """The training documents dealt to shares, each of them in one, and each in files of its own: a round over one reads no other."""
     shares = max(1, min(START_SHARE, documents // START_DOCS))
-    return [training.where(F.pmod(F.xxhash64("rid"), F.lit(shares)) == i) for i in range(shares)] if shares > 1 else [training]
+    if shares == 1:
+        return [training]
+    writers = max(training.sparkSession.sparkContext.defaultParallelism, int(tokens) // SHARE_TOKENS)
+    dealt = cut(training.coalesce(writers).withColumn("share", F.pmod(F.xxhash64("rid"), F.lit(shares)).cast("int")), "shares", by="share")
+    return [dealt.where(F.col("share") == i) for i in range(shares)]
 
 
 def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> hmm.Model:
@@ -204,7 +210,7 @@ def train(encoded: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS, states:
     training = encoded.where("not held_out").select("symbols", "rid")
     # two bytes a symbol
     size = training.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.length("symbols")), F.lit(0)) / 2).alias("tokens")).first()
-    shares = start_shares(training, size.n)
+    shares = start_shares(training, size.n, size.tokens)
     turns = [shares[i % len(shares)] for i in range(max(START_ROUNDS, len(shares)))]
     model = hmm.random_model(states, unigram)
     for tables in (turns, [training] * rounds):
