@@ -411,3 +411,18 @@ def test_forward_values_are_scaled_now_and_then():
     double, _ = hidden_markov.expectations(model, sequences, 40)
     assert np.isclose(total, sum(want), rtol=1e-5) and np.allclose(single, double, atol=2e-3)
     assert np.isclose(double[:5].sum(), len(sequences)) and np.isclose(double[30:].sum(), sum(map(len, sequences))) and hidden_markov.SCALED > 1
+
+
+def test_tokens_split_by_slices():
+    """Words and END of null, empty, blank and broken texts as Python splits them; an own number for each distinct one, whatever the slices."""
+    texts = [None, b"", b" \n", b"  A b\x0bc\xc3\x89\xff \xff\x1cQ", "İ ẞ\u00a0x\u2003y".encode(), b"a", b"a B a\t"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    for size in (1, 5, 1000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm_score, "SLICE_BYTES", size)
+            found = []
+            for part in lm_score.slices(batch):
+                numbers, lengths, words = lm_score.split_tokens(part.column(1))
+                assert len(set(words.to_pylist())) == len(words)
+                found += [[words[int(i)].as_py() for i in x] for x in np.split(numbers, np.cumsum(lengths)[:-1])]
+            assert found == [[*(t or b"").lower().split(), b""] for t in texts]

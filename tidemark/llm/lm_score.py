@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,7 +31,9 @@ START_ROUNDS, START_SHARE, START_DOCS = 12, 16, 1500
 SHARE_TOKENS = 32_000_000
 #: Rounds end early when the log likelihood of a token gains less.
 LEAST_GAIN = 1e-5
-FLUSH = 400_000
+FLUSH = 800_000
+#: Text that is split at once.
+SLICE_BYTES = 8_000_000
 ENCODED = (
     "rid long, doc_id long, held_out boolean, n_tokens long, known long, table_log double, class_log double, "
     "class_cost double, symbols binary, rare array<binary>, times array<int>"
@@ -43,11 +45,6 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text's UTF-8 bytes, A-Z lower-cased, then END."""
-    return [*(text or b"").lower().split(), END]
-
-
 def word_class(token: bytes) -> int:
     return zlib.crc32(token[-SUFFIX:]) % CLASSES
 
@@ -59,22 +56,54 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[tuple[lis
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` (texts second) in runs of rows of some SLICE_BYTES of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def split_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The tokens of all texts in order, as numbers of the distinct ones; how many each text has; the distinct ones.
+
+    A text's tokens are the words of its UTF-8 bytes, A-Z lower-cased, then END. Arrow splits and numbers them, so what
+    Python does for a word is done once for all its occurrences in a slice.
+    """
+    # copied, as a slice of widened texts is read from its start; these functions look at ASCII alone, so bytes that are no UTF-8 stay as they are
+    texts = texts.take(pa.array(np.arange(len(texts))))
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").cast(pa.large_binary()).view(pa.large_string())))
+    empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    ended = pc.if_else(pc.equal(plain, empty), empty, pc.binary_join_element_wise(plain, empty, space))
+    lists = pc.ascii_split_whitespace(ended)
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy(), coded.dictionary.view(pa.large_binary()).cast(pa.binary())
+
+
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, c) of the training documents, summed within a task."""
-    counts: Counter = Counter()
+    parts: list[pa.RecordBatch] = []
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
+    def summed() -> pa.Table:
+        return pa.Table.from_batches(parts).group_by("token").aggregate([("c", "sum")]).rename_columns({"c_sum": "c"})
 
-    for ids, texts in _rows(batches):
-        for i, t in zip(ids, texts, strict=True):
-            if not held_out(i):
-                counts.update(tokens(t))
-        if len(counts) > FLUSH:
-            yield out()
-            counts.clear()
-    if counts:
-        yield out()
+    for batch in batches:
+        for part in slices(batch):
+            learnt = part.filter(pa.array([not held_out(i) for i in part.column(0).to_pylist()], pa.bool_()))
+            if not learnt.num_rows:
+                continue
+            numbers, _, words = split_tokens(learnt.column(1))
+            parts.append(pa.RecordBatch.from_arrays([words, pa.array(np.bincount(numbers, minlength=len(words)).astype(np.int64))], names=["token", "c"]))
+            if sum(len(x) for x in parts) > FLUSH:
+                table = summed()
+                parts = table.to_batches()
+                if len(table) > FLUSH // 2:
+                    yield from parts
+                    parts = []
+    if parts:
+        yield from summed().select(["token", "c"]).to_batches()
 
 
 class Lexicon:
@@ -96,37 +125,43 @@ class Lexicon:
             payload["lexicon"] = cls(**payload["parameters"])
         return payload["lexicon"]
 
-    def encode(self, text: bytes | None) -> tuple:
-        """n_tokens, known, log10(c + 0.5) over table words, over those in classes, log10 class sizes, symbols, other words."""
-        found = tokens(text)
-        at = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
+    def encode(self, texts: pa.Array) -> list[pa.Array]:
+        """n_tokens, known, log10(c + 0.5) over table words, over those in classes, log10 class sizes, symbols, other words and their times of each text."""
+        numbers, lengths, words = split_tokens(texts)
+        names = words.to_pylist()
+        at = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
         inside = at >= 0
-        rows = at[inside]
-        symbols = np.empty(len(found), np.uint16)
-        symbols[inside] = self.symbol[rows]
-        rare: Counter = Counter()
+        symbol = np.empty(len(names), np.uint16)
+        symbol[inside] = self.symbol[at[inside]]
         other = np.flatnonzero(~inside)
-        if len(other):
-            names = [found[i] for i in other]
-            rare.update(names)
-            classes = {w: word_class(w) for w in rare}
-            symbols[other] = [self.symbols + classes[w] for w in names]
-        classed = symbols >= self.symbols
-        cost = self.cost[symbols[classed].astype(np.int64) - self.symbols].sum()
-        return (len(found), int(self.known[rows].sum()), float(self.log[rows].sum()), float(self.log[rows[rows >= self.symbols]].sum()), float(cost), symbols.tobytes(), list(rare), list(rare.values()))
+        symbol[other] = [self.symbols + word_class(names[i]) for i in other]
+        log, known, cost = np.zeros(len(names)), np.zeros(len(names), np.int64), np.zeros(len(names))
+        log[inside], known[inside] = self.log[at[inside]], self.known[at[inside]]
+        classed = symbol >= self.symbols
+        cost[classed] = self.cost[symbol[classed].astype(np.int64) - self.symbols]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        summed = [pa.array(np.add.reduceat(x[numbers], ends - lengths)) for x in (known, log, np.where(classed, log, 0.0), cost)]
+        bounds = np.append(0, 2 * ends).astype(np.int32)
+        symbols = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(symbol[numbers])])
+        rare = np.flatnonzero(~inside[numbers])
+        text = np.searchsorted(ends, rare, side="right")
+        found, times = np.unique(text * len(names) + numbers[rare], return_counts=True)
+        starts = pa.array(np.searchsorted(found, np.arange(len(texts) + 1) * len(names)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(starts, x) for x in (words.take(pa.array(found % len(names))), pa.array(times.astype(np.int32)))]
+        return [pa.array(lengths.astype(np.int64)), *summed, symbols, *lists]
 
 
 def encode_documents(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[pa.RecordBatch]:
     lexicon = Lexicon.of(broadcast)
     rid = TaskContext.get().partitionId() << 33
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
     names = [x.strip().split()[0] for x in ENCODED.split(", ")]
-    for ids, texts in _rows(batches):
-        rows = []
-        for i, t in zip(ids, texts, strict=True):
-            rows.append((rid, i, held_out(i), *lexicon.encode(t)))
-            rid += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    for batch in batches:
+        for part in slices(batch):
+            ids = part.column(0)
+            held = pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_())
+            rids = pa.array(np.arange(rid, rid + len(ids)))
+            rid += len(ids)
+            yield pa.RecordBatch.from_arrays([rids, ids.cast(pa.int64()), held, *lexicon.encode(part.column(1))], names=names)
 
 
 def head_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray, Column]:
