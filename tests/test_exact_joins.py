@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,57 @@ def test_pairs_are_made_of_classes(spark):
     assert (members.count(), classes.count(), met.count()) == (120, 6, 6 + 5 + 4)
 
 
+def _unequal(spark, n: int):
+    """Members of 9 groups out of 20, no two with the same; all of them meet."""
+    rng = random.Random(4)
+    of = {m: set(rng.sample(range(20), 9)) for m in range(n)}
+    return of, spark.createDataFrame([(m, f"g{g}") for m, gs in of.items() for g in gs], "m int, g string")
+
+
+def _written(monkeypatch) -> list[int]:
+    rows, real = [], listing.cut
+    monkeypatch.setattr(listing, "cut", lambda df, label: (out := real(df, label), rows.append(out.count()))[0])
+    return rows
+
+
+def _pairs_stay(df) -> bool:
+    """Nothing is shuffled after the step that meets the members."""
+    above, step, _ = df._jdf.queryExecution().executedPlan().toString().partition("FlatMapGroupsInArrow")
+    return bool(step) and "Exchange" not in above
+
+
+@pytest.mark.parametrize("block", [1000, 25])
+def test_colisting_neither_writes_nor_shuffles_pairs(spark, monkeypatch, block):
+    """Where all members differ, no table that is written is larger than the bridge, and the pairs stay in the task that counted them."""
+    monkeypatch.setattr(listing, "BLOCK", block, raising=False)
+    of, bridge = _unequal(spark, 90)
+    written = _written(monkeypatch)
+    found = listing.colisting(bridge, "m", "g", 4)
+    assert max(written) <= 90 * 9 < 90 * 89 / 2
+    assert _pairs_stay(found)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, b, len(of[a] & of[b])) for a in of for b in of if a != b and len(of[a] & of[b]) >= 4)
+
+
+@pytest.mark.parametrize("dense", [1, 10_000])
+def test_counts_of_blocks_are_those_of_sets(monkeypatch, dense):
+    """Many small groups are added pair by pair, large ones as a product of matrices, in more than one slice."""
+    monkeypatch.setattr(listing, "DENSE", dense)
+    monkeypatch.setattr(listing, "SLAB", 3)
+    monkeypatch.setattr(listing, "ADDED", 20)
+    rng = random.Random(2)
+    of = {(b, at): set(rng.sample(range(30), rng.randrange(12))) for b in (0, 1) for at in range(8)}
+    held = {(g, b): [at for at in range(8) if g in of[b, at]] for g in range(30) for b in (0, 1)}
+    cells = [{"i": 0, "j": 1, "size": g + 1, "xs": held[g, 0], "ys": held[g, 1], "block": None, "at": None, "ms": None} for g in range(30) if held[g, 0] and held[g, 1]]
+    units = [{"i": 0, "j": 1, "size": None, "xs": None, "ys": None, "block": b, "at": at, "ms": [100 * b + at]} for b, at in of]
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("size", pa.int64()), ("xs", pa.list_(pa.int32())), ("ys", pa.list_(pa.int32())), ("block", pa.int32()), ("at", pa.int32()), ("ms", pa.list_(pa.int32()))])
+    b = listing._Blocks(iter(pa.Table.from_pylist(units[::-1] + cells, schema).to_batches()), True)
+    assert b.xms.to_pylist() == [[at] for at in range(8)] and b.yms.to_pylist() == [[100 + at] for at in range(8)]
+    for x in range(8):
+        for y in range(8):
+            both = of[0, x] & of[1, y]
+            assert b.shared[x, y] == len(both) and b.weight[x, y] == pytest.approx(sum(1 / (g + 1) for g in both))
+
+
 def test_stories_are_not_broadcast(spark, monkeypatch):
     """Aliases and scope may be, after they are counted; the plan broadcasts nothing else, however small the stories' files."""
     monkeypatch.setattr(notices, "small", lambda df: df)
