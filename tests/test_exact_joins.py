@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, listing, notices, search
-from tidemark.plans import stories as stories_plans
+from tidemark.plans import records, stories as stories_plans
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -114,6 +115,32 @@ def test_colisting_neither_writes_nor_shuffles_pairs(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in found.collect()) == sorted((a, b, len(of[a] & of[b])) for a in of for b in of if a != b and len(of[a] & of[b]) >= 4)
 
 
+@pytest.mark.parametrize("k", [1, 5, 30])
+def test_top_peers_of_blocks_are_those_of_all(spark, monkeypatch, k):
+    """Ties within a block, across blocks and of more than k, members with equal groups in several units; no table that is written is larger than the bridge."""
+    monkeypatch.setattr(listing, "BLOCK", 20, raising=False)
+    monkeypatch.setattr(listing, "CHUNK", 2)
+    of, _ = _unequal(spark, 70)
+    of |= {70 + m: of[m % 3] for m in range(15)} | {85 + m: {"x"} for m in range(7)}
+    rows = [(m, f"g{g}") for m, gs in of.items() for g in gs]
+    size = {g: sum(g in gs for gs in of.values()) for gs in of.values() for g in gs}
+    want = {}
+    for a in of:
+        score = {b: (len(of[a] & of[b]), round(sum(1 / size[g] for g in of[a] & of[b]), 9)) for b in of if b != a and of[a] & of[b]}
+        want |= {(a, b): (*s, n) for b, s in score.items() if (n := sum(t >= s for t in score.values())) <= k}
+    written = _written(monkeypatch)
+    found = listing.top_peers(spark.createDataFrame(rows, "m int, g string"), "m", "g", k)
+    assert max(written) <= len(rows) < 70 * 69 / 2
+    assert {(r.a, r.b): (r.shared, round(r.weight, 9), r.rows_upto) for r in found.collect()} == want and want
+
+
+def test_weights_are_rounded_as_the_sql_rounds_them(spark):
+    """0.0160785, a weight of nine decimals, lies below the half as a double times a million."""
+    values = [0.0160785, 0.0160775, 0.1234565, 1.0000005, 0.0000005, 0.25, 0.0, 20.0000015]
+    found = spark.createDataFrame([(v,) for v in values], "weight double").select(records._sixth(F.col("weight"))).collect()
+    assert [r[0] for r in found] == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
+
+
 @pytest.mark.parametrize("dense", [1, 10_000])
 def test_counts_of_blocks_are_those_of_sets(monkeypatch, dense):
     """Many small groups are added pair by pair, large ones as a product of matrices, in more than one slice."""

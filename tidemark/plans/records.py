@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators import checks, listing, merge, ranking, series
 from tidemark.tables import table
@@ -32,8 +32,13 @@ def colisting(spark: SparkSession, sf: str) -> DataFrame:
 COLISTING = f"WITH {_BRIDGE} SELECT x.member AS a, y.member AS b, count(*) AS shared FROM b x JOIN b y ON x.grp = y.grp AND x.member <> y.member GROUP BY 1, 2 HAVING count(*) >= 2"
 
 
+def _sixth(x: Column) -> Column:
+    """A double that is not negative, to six decimals as DuckDB rounds: by its product, not by its decimals."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def peers_tie_safe(spark: SparkSession, sf: str) -> DataFrame:
-    return listing.top_peers(_bridge(spark, sf), "member", "grp", 8).select("a", "b", "shared", F.round("weight", 6).alias("weight"), "rows_upto")
+    return listing.top_peers(_bridge(spark, sf), "member", "grp", 8).select("a", "b", "shared", _sixth(F.col("weight")).alias("weight"), "rows_upto")
 
 
 PEERS = f"""
