@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, listing, notices, search
-from tidemark.plans import records, stories as stories_plans
+from tidemark.plans import evidence, records, stories as stories_plans
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -161,6 +161,17 @@ def test_counts_of_blocks_are_those_of_sets(monkeypatch, dense):
             assert b.shared[x, y] == len(both) and b.weight[x, y] == pytest.approx(sum(1 / (g + 1) for g in both))
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_same_group_not_colisted_keeps_pairs_in_their_task(spark, sf_dir, same_rows, monkeypatch, block):
+    """Suppliers in one block and in several; those that share too many groups are left out before rows are made of members."""
+    monkeypatch.setattr(listing, "BLOCK", block, raising=False)
+    found = evidence.same_group_not_colisted(spark, sf_dir)
+    assert _pairs_stay(found)
+    above = found._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapGroupsInArrow")[0]
+    assert above.rindex("Generate") < above.index("Filter (isnotnull(shared")
+    same_rows(found, evidence.NOT_COLISTED, sf_dir)
+
+
 def test_stories_are_not_broadcast(spark, monkeypatch):
     """Aliases and scope may be, after they are counted; the plan broadcasts nothing else, however small the stories' files."""
     monkeypatch.setattr(notices, "small", lambda df: df)
